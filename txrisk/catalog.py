@@ -444,3 +444,137 @@ def q_best_model(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Risk scoring and alerts
 # ---------------------------------------------------------------------------
+
+from txrisk.operators import alerts  # noqa: E402
+
+
+def scored_transactions(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
+    """Transactions scored with the fixture probability, ids ``TX_%06d`` in (Time, id) order."""
+    tx = tables.transactions(spark, sf_dir).select("id", "Time", "Amount")
+    p = (tables.fixture_probability(F.col("Amount")) / 1000.0).alias("fraud_probability")
+    scored = alerts.score(tx.select("id", "Time", p), threshold=threshold)
+    scored = scored.withColumns({"alert_action": R.risk_action(F.col("risk_level")), "alert_color": R.alert_struct(F.col("fraud_score"))["color"]})
+    return alerts.assign_tx_ids(scored, ["Time", "id"])
+
+
+def _scored_sql(threshold: str = "CAST(0.5 AS DOUBLE)") -> str:
+    return f"""
+, sc AS (SELECT id, Time,
+               CAST(least(greatest(CAST(floor((2 * CAST(round(Amount * 100) AS BIGINT) + 5) / 10) AS BIGINT), 0), 1000) AS DOUBLE) / 1000.0 AS p
+        FROM tx),
+s2 AS (SELECT id, Time, p, round(least(greatest(p * 100.0, 0.0), 100.0), 1) AS fraud_score FROM sc),
+s3 AS (SELECT *, CASE WHEN fraud_score < 30 THEN 'SAFE' WHEN fraud_score < 70 THEN 'SUSPICIOUS' ELSE 'FRAUD' END AS risk_level FROM s2),
+scored AS (
+  SELECT printf('TX_%06d', row_number() OVER (ORDER BY Time, id)) AS tx_id, id, Time,
+         p AS fraud_probability, fraud_score, risk_level,
+         CASE WHEN p >= greatest(0.01, least(0.99, {threshold})) THEN 'BLOCK'
+              WHEN risk_level = 'SAFE' THEN 'APPROVE' WHEN risk_level = 'SUSPICIOUS' THEN 'REVIEW' ELSE 'BLOCK' END AS decision,
+         CAST(greatest(0.01, least(0.99, {threshold})) AS DOUBLE) AS threshold_used,
+         CASE risk_level WHEN 'SAFE' THEN 'APPROVE' WHEN 'SUSPICIOUS' THEN 'REVIEW' ELSE 'BLOCK' END AS alert_action,
+         CASE risk_level WHEN 'SAFE' THEN '#22c55e' WHEN 'SUSPICIOUS' THEN '#f59e0b' ELSE '#ef4444' END AS alert_color
+  FROM s3
+)"""
+
+
+_SCORED_COLS = "tx_id, id, Time, fraud_probability, fraud_score, risk_level, decision, threshold_used, alert_action, alert_color"
+
+
+@register("risk_scoring", O.with_tx(_scored_sql() + f"\nSELECT tx_id, id, {r6('Time')} AS Time, fraud_probability, fraud_score, risk_level, decision, threshold_used, alert_action, alert_color FROM scored"))
+def q_risk_scoring(spark, sf_dir):
+    return rounded(scored_transactions(spark, sf_dir).select(*_SCORED_COLS.split(", ")))
+
+
+@register(
+    "risk_scoring_clamped_threshold",
+    O.with_tx(_scored_sql("CAST(1.5 AS DOUBLE)") + "\nSELECT tx_id, fraud_probability, fraud_score, risk_level, decision, threshold_used FROM scored"),
+)
+def q_risk_scoring_clamped(spark, sf_dir):
+    # a threshold above the allowed range is clamped to 0.99
+    s = scored_transactions(spark, sf_dir, threshold=1.5)
+    return rounded(s.select("tx_id", "fraud_probability", "fraud_score", "risk_level", "decision", "threshold_used"))
+
+
+@register(
+    "running_stats",
+    O.with_tx(
+        _scored_sql()
+        + f"""
+SELECT count(*) AS total_processed, count(*) FILTER (WHERE risk_level = 'FRAUD') AS fraud_detected,
+       {r6('avg(fraud_score)')} AS avg_score,
+       count(*) FILTER (WHERE risk_level = 'SAFE') AS n_safe, count(*) FILTER (WHERE risk_level = 'SUSPICIOUS') AS n_suspicious,
+       count(*) FILTER (WHERE risk_level = 'FRAUD') AS n_fraud,
+       round(count(*) FILTER (WHERE risk_level = 'FRAUD') / greatest(count(*), 1) * 100.0, 2) AS fraud_rate_pct,
+       CAST(0.5 AS DOUBLE) AS current_threshold
+FROM scored"""
+    ),
+)
+def q_running_stats(spark, sf_dir):
+    return rounded(alerts.running_stats(scored_transactions(spark, sf_dir)).drop("alert_distribution"))
+
+
+@register(
+    "alert_counts",
+    O.with_tx(
+        _scored_sql()
+        + f"""
+SELECT count(*) AS total_alerts, count(*) FILTER (WHERE risk_level = 'SAFE') AS n_safe,
+       count(*) FILTER (WHERE risk_level = 'SUSPICIOUS') AS n_suspicious, count(*) FILTER (WHERE risk_level = 'FRAUD') AS n_fraud,
+       {r6("CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE risk_level = 'FRAUD') / count(*) * 100.0 END")} AS detection_rate_pct
+FROM scored"""
+    ),
+)
+def q_alert_counts(spark, sf_dir):
+    return rounded(alerts.risk_counts(scored_transactions(spark, sf_dir)))
+
+
+@register(
+    "alert_board",
+    O.with_tx(
+        _scored_sql()
+        + """
+SELECT tx_id, fraud_score, fraud_probability, risk_level, decision FROM scored
+WHERE risk_level IN ('SUSPICIOUS', 'FRAUD') ORDER BY fraud_score DESC, tx_id LIMIT 100"""
+    ),
+)
+def q_alert_board(spark, sf_dir):
+    return rounded(alerts.alert_board(scored_transactions(spark, sf_dir)))
+
+
+@register(
+    "alert_board_all_levels",
+    O.with_tx(
+        _scored_sql()
+        + """
+SELECT tx_id, fraud_score, fraud_probability, risk_level, decision FROM scored ORDER BY fraud_score DESC, tx_id LIMIT 100"""
+    ),
+)
+def q_alert_board_all(spark, sf_dir):
+    # an empty risk selection means every level
+    return rounded(alerts.alert_board(scored_transactions(spark, sf_dir), levels=[]))
+
+
+@register(
+    "recent_predictions",
+    O.with_tx(
+        _scored_sql()
+        + """
+SELECT tx_id, fraud_score, risk_level, decision FROM scored ORDER BY Time DESC, tx_id DESC LIMIT 20"""
+    ),
+)
+def q_recent(spark, sf_dir):
+    s = scored_transactions(spark, sf_dir)
+    return alerts.recent(s, 20, [F.col("Time").desc(), F.col("tx_id").desc()]).select("tx_id", "fraud_score", "risk_level", "decision")
+
+
+@register(
+    "stream_head",
+    O.with_tx(
+        _scored_sql()
+        + """
+SELECT tx_id, fraud_probability, fraud_score, risk_level, decision FROM scored ORDER BY Time, id LIMIT 500"""
+    ),
+)
+def q_stream_head(spark, sf_dir):
+    # max_transactions: the first 500 transactions of the stream order
+    s = scored_transactions(spark, sf_dir)
+    return alerts.first_n(s, 500, ["Time", "id"]).select("tx_id", "fraud_probability", "fraud_score", "risk_level", "decision")
