@@ -578,3 +578,134 @@ def q_stream_head(spark, sf_dir):
     # max_transactions: the first 500 transactions of the stream order
     s = scored_transactions(spark, sf_dir)
     return alerts.first_n(s, 500, ["Time", "id"]).select("tx_id", "fraud_probability", "fraud_score", "risk_level", "decision")
+
+
+# ---------------------------------------------------------------------------
+# Sampling, rebalancing, neighbours (SP1-SP7, A13, J1, W4, U1-U3)
+# ---------------------------------------------------------------------------
+
+from txrisk.operators import knn as K  # noqa: E402
+from txrisk.operators import sampling as S  # noqa: E402
+from txrisk.schema import V_COLUMNS  # noqa: E402
+
+_SPLIT_SQL = """
+, cc AS (SELECT Class, count(*) AS n_c FROM tx GROUP BY Class),
+tot AS (SELECT sum(n_c) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_test FROM cc),
+alloc AS (SELECT Class, n_c, CAST(n - n_test AS DOUBLE) * n_c / n AS cont,
+                 floor(CAST(n - n_test AS DOUBLE) * n_c / n) AS fl, n - n_test AS n_train_total FROM cc, tot),
+ranked AS (SELECT *, row_number() OVER (ORDER BY cont - fl DESC, Class) AS rr, n_train_total - sum(fl) OVER () AS left_ FROM alloc),
+tr AS (SELECT Class, n_c, CAST(fl + CASE WHEN rr <= left_ THEN 1 ELSE 0 END AS BIGINT) AS n_train FROM ranked)"""
+
+
+@register(
+    "split_counts",
+    O.with_tx(
+        _SPLIT_SQL
+        + """
+SELECT CAST(Class AS INTEGER) AS Class, 'train' AS split, n_train AS count FROM tr
+UNION ALL SELECT CAST(Class AS INTEGER), 'test', n_c - n_train FROM tr"""
+    ),
+)
+def q_split_counts(spark, sf_dir):
+    s = S.with_split(tables.transactions(spark, sf_dir))
+    return s.groupBy(F.col("Class").cast("int").alias("Class"), "split").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    # rows-only: membership comes from hashed draws
+    return S.with_split(tables.transactions(spark, sf_dir)).select("id", "Class", "split")
+
+
+@register(
+    "undersample_counts",
+    O.with_tx(
+        """
+, cc AS (SELECT count(*) FILTER (WHERE Class = 1) AS n_min, count(*) FILTER (WHERE Class <> 1) AS n_maj FROM tx)
+SELECT 1 AS Class, n_min AS count FROM cc
+UNION ALL SELECT 0, least(CAST(floor(n_min * CAST(2.5 AS DOUBLE)) AS BIGINT), n_maj) FROM cc"""
+    ),
+)
+def q_undersample_counts(spark, sf_dir):
+    u = S.random_undersample(tables.transactions(spark, sf_dir), ratio=2.5)
+    return u.groupBy(F.col("Class").cast("int").alias("Class")).agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("undersample_rows")
+def q_undersample_rows(spark, sf_dir):
+    return S.random_undersample(tables.transactions(spark, sf_dir), ratio=10.0).select("id", "Class")
+
+
+@register(
+    "class_weights",
+    O.with_tx(
+        f"""
+, cc AS (SELECT Class, count(*) AS count FROM tx GROUP BY Class)
+SELECT CAST(Class AS INTEGER) AS Class, count, {r6('(SELECT sum(count) FROM cc) / ((SELECT count(*) FROM cc) * count)')} AS weight FROM cc"""
+    ),
+)
+def q_class_weights(spark, sf_dir):
+    w = S.class_weights(tables.transactions(spark, sf_dir))
+    return rounded(w.select(F.col("Class").cast("int").alias("Class"), "count", "weight"))
+
+
+@register(
+    "fold_counts",
+    O.with_tx(
+        """
+, cc AS (SELECT Class, count(*) AS n_c FROM tx GROUP BY Class)
+SELECT CAST(Class AS INTEGER) AS Class, CAST(f AS INTEGER) AS fold, CAST(floor((n_c - f - 1) / 3) + 1 AS BIGINT) AS count
+FROM cc, range(0, 3) r(f) WHERE n_c > f"""
+    ),
+)
+def q_fold_counts(spark, sf_dir):
+    f = S.stratified_folds(tables.transactions(spark, sf_dir), 3)
+    return f.groupBy(F.col("Class").cast("int").alias("Class"), "fold").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _knn_sql(k: int) -> str:
+    d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in V_COLUMNS)
+    return O.with_tx(
+        f"""
+, m AS (SELECT * FROM tx WHERE Class = 1),
+pairs AS (SELECT a.id, b.id AS nid, sqrt({d2}) AS dist FROM m a JOIN m b ON a.id <> b.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nid) AS rank FROM pairs)
+SELECT id, CAST(rank AS INTEGER) AS rank, nid, {r6('dist')} AS dist FROM ranked WHERE rank <= {k}"""
+    )
+
+
+@register("knn_minority", _knn_sql(5))
+def q_knn_minority(spark, sf_dir):
+    m = tables.transactions(spark, sf_dir).filter("Class = 1")
+    return rounded(K.knn(m, V_COLUMNS, 5))
+
+
+@register("knn_minority_k25", _knn_sql(25))
+def q_knn_minority_k25(spark, sf_dir):
+    # more neighbours than copies: reaches the distinct-vector search
+    m = tables.transactions(spark, sf_dir).filter("Class = 1")
+    return rounded(K.knn(m, V_COLUMNS, 25))
+
+
+@register(
+    "smote_allocation",
+    O.with_tx(
+        """
+, m AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM tx WHERE Class = 1),
+cc AS (SELECT count(*) FILTER (WHERE Class = 1) AS n_min, count(*) FILTER (WHERE Class <> 1) AS n_maj FROM tx),
+g AS (SELECT n_maj - n_min AS n_gen, (n_maj - n_min) // n_min + 1 AS n_per FROM cc)
+SELECT id AS base_id, CAST(greatest(0, least(n_per, n_gen - pos * n_per)) AS BIGINT) AS n_synthetic FROM m, g"""
+    ),
+)
+def q_smote_allocation(spark, sf_dir):
+    tx = tables.transactions(spark, sf_dir)
+    out = S.smote(tx, V_COLUMNS)
+    made = out.filter("is_synthetic").groupBy("base_id").agg(F.count(F.lit(1)).alias("n_synthetic"))
+    bases = tx.filter("Class = 1").select(F.col("id").alias("base_id"))
+    return bases.join(made, "base_id", "left").select("base_id", F.coalesce("n_synthetic", F.lit(0)).cast("bigint").alias("n_synthetic"))
+
+
+@register("smote_rows")
+def q_smote_rows(spark, sf_dir):
+    # rows-only: synthetic values come from hashed draws (invariants are in tests)
+    return S.smote(tables.transactions(spark, sf_dir), V_COLUMNS)
