@@ -107,9 +107,20 @@ def rolling_aggregate(
     Rows keep ``pos_col`` (global 0-based position).  Only ``(rows-1)/block_rows``
     of the rows are duplicated.
     """
+    pos = with_positions(df, order_cols, pos_col=pos_col, num_partitions=num_partitions)
+    return rolling_over_positions(pos, aggs, rows, pos_col=pos_col, block_rows=block_rows)
+
+
+def rolling_over_positions(
+    pos: DataFrame,
+    aggs: dict[str, Column],
+    rows: int,
+    pos_col: str = "_pos",
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+) -> DataFrame:
+    """Row frame over rows that already carry dense global positions (block/halo plan)."""
     if block_rows < rows:
         raise ValueError("block_rows must be at least the frame length")
-    pos = with_positions(df, order_cols, pos_col=pos_col, num_partitions=num_partitions)
     blk = F.floor(F.col(pos_col) / F.lit(block_rows))
     in_halo = F.pmod(F.col(pos_col), F.lit(block_rows)) >= F.lit(block_rows - (rows - 1))
     expanded = pos.withColumn("_home", blk).withColumn(
