@@ -55,8 +55,8 @@ def fill_missing_columns(df: DataFrame, cols: Sequence[str], value: float = 0.0)
 
 
 def null_to_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """NULL feature values of a record count as 0."""
-    return df.fillna(0.0, subset=[c for c in cols if c in df.columns])
+    """NULL (missing) feature values of a record count as 0; NaN stays NaN (``fillna`` would zero it too)."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in cols if c in df.columns})
 
 
 def project_available(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
