@@ -210,7 +210,7 @@ def q_clean(spark, sf_dir):
     return rounded(cleaning.clean(tx))
 
 
-_FEAT_SQL = f"""
+_FEAT_CTES = """
 , s AS (
   SELECT quantile_cont(Amount, 0.5) AS med,
          CASE WHEN quantile_cont(Amount, 0.75) - quantile_cont(Amount, 0.25) = 0 THEN 1.0
@@ -229,13 +229,20 @@ f AS (
          CAST(least(row_number() OVER (ORDER BY Time, id), 100) AS DOUBLE) AS tx_velocity,
          avg(Amount) OVER (ORDER BY Time, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS rolling_avg_amount
   FROM tx, s
-)
+),
+g AS (
+  SELECT f.*, sin(2 * pi() * hod / 24.0) AS hour_sin, cos(2 * pi() * hod / 24.0) AS hour_cos,
+         abs(Amount - rolling_avg_amount) AS amount_deviation
+  FROM f
+)"""
+
+_FEAT_SQL = _FEAT_CTES + f"""
 SELECT id, {r6('Amount_scaled')} AS Amount_scaled, {r6('Time_hours')} AS Time_hours, {r6('Time_scaled')} AS Time_scaled,
-       {r6('sin(2 * pi() * hod / 24.0)')} AS hour_sin, {r6('cos(2 * pi() * hod / 24.0)')} AS hour_cos,
+       {r6('hour_sin')} AS hour_sin, {r6('hour_cos')} AS hour_cos,
        tx_velocity, {r6('rolling_avg_amount', 8)} AS rolling_avg_amount,
-       {r6('abs(Amount - rolling_avg_amount)', 8)} AS amount_deviation, is_high_amount,
+       {r6('amount_deviation', 8)} AS amount_deviation, is_high_amount,
        {r6('V14_V17_interaction')} AS V14_V17_interaction, {r6('V4_V11_interaction')} AS V4_V11_interaction
-FROM f"""
+FROM g"""
 
 ENGINEERED_OUT = [
     "id",
@@ -709,3 +716,249 @@ def q_smote_allocation(spark, sf_dir):
 def q_smote_rows(spark, sf_dir):
     # rows-only: synthetic values come from hashed draws (invariants are in tests)
     return S.smote(tables.transactions(spark, sf_dir), V_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# Feature lookup, importance ranking, explanation aggregates
+# ---------------------------------------------------------------------------
+
+from txrisk.operators import explain as X  # noqa: E402
+from txrisk.schema import FEATURE_COLUMNS, display_name  # noqa: E402
+
+
+def _names_sql() -> str:
+    vals = ", ".join(
+        "('{}', '{}', {})".format(f, display_name(f).replace("'", "''"), i) for i, f in enumerate(FEATURE_COLUMNS)
+    )
+    return f"names AS (SELECT * FROM (VALUES {vals}) t(feature, display_name, position))"
+
+
+_LONG_SQL = (
+    _FEAT_CTES
+    + ",\nlong AS (SELECT id, Class, feature, value FROM (SELECT id, Class, "
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_COLUMNS)
+    + " FROM g) UNPIVOT (value FOR feature IN ("
+    + ", ".join(FEATURE_COLUMNS)
+    + "))),\n"
+    + _names_sql()
+)
+
+
+def _engineered_long(spark, sf_dir) -> DataFrame:
+    feats, _ = features.engineer_features(tables.transactions(spark, sf_dir))
+    wide = feats.select("id", "Class", *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
+    return wide.unpivot(["id", "Class"], FEATURE_COLUMNS, "feature", "value")
+
+
+def _feature_lookup(spark) -> DataFrame:
+    return spark.createDataFrame(
+        [(f, display_name(f), i) for i, f in enumerate(FEATURE_COLUMNS)], "feature string, display_name string, position int"
+    )
+
+
+@register(
+    "feature_profile",
+    O.with_tx(
+        _LONG_SQL
+        + f"""
+SELECT feature, display_name,
+       CASE WHEN feature LIKE 'V%' THEN 'PCA' WHEN feature LIKE '%Amount%' OR feature LIKE '%amount%' THEN 'Amount' ELSE 'Engineered' END AS feature_group,
+       {r6('avg(value)')} AS mean, {r6('stddev_samp(value)')} AS std
+FROM long JOIN names USING (feature) GROUP BY feature, display_name"""
+    ),
+)
+def q_feature_profile(spark, sf_dir):
+    prof = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    # 38-row lookup: broadcast
+    out = prof.join(F.broadcast(_feature_lookup(spark)), "feature").select(
+        "feature", "display_name", R.feature_group(F.col("feature")).alias("feature_group"), "mean", "std"
+    )
+    return rounded(out)
+
+
+_CORR_SQL = "CASE WHEN stddev_pop(value) * stddev_pop(Class) = 0 THEN 0.0 ELSE coalesce(covar_pop(value, Class) / (stddev_pop(value) * stddev_pop(Class)), 0.0) END"
+
+
+@register(
+    "importance_ranking",
+    O.with_tx(
+        _LONG_SQL
+        + f""",
+raw AS (SELECT feature, abs({_CORR_SQL}) AS raw FROM long GROUP BY feature),
+norm AS (SELECT raw.feature, raw.raw / sum(raw.raw) OVER () AS importance, position FROM raw JOIN names USING (feature))
+SELECT feature, {r6('importance')} AS importance, round(importance * 100.0, 2) AS importance_pct,
+       CAST(row_number() OVER (ORDER BY importance DESC, position) AS INTEGER) AS rank
+FROM norm"""
+    ),
+)
+def q_importance_ranking(spark, sf_dir):
+    # importance = |correlation with the label| of each engineered feature, then the published normalise/rank rule
+    raw = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.abs(X.correlation(F.col("value"), F.col("Class").cast("double"))).alias("raw"))
+    raw = raw.join(F.broadcast(_feature_lookup(spark).select("feature", "position")), "feature")
+    return rounded(X.rank_importance(raw), importance_pct=2)
+
+
+@register(
+    "top_features",
+    O.with_tx(
+        _LONG_SQL
+        + f""",
+raw AS (SELECT feature, abs({_CORR_SQL}) AS raw FROM long GROUP BY feature),
+norm AS (SELECT raw.feature, raw.raw / sum(raw.raw) OVER () AS importance, position, display_name FROM raw JOIN names USING (feature)),
+rk AS (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, position) AS INTEGER) AS rank FROM norm)
+SELECT feature, rank, display_name,
+       CASE WHEN feature LIKE 'V%' THEN 'PCA' WHEN feature LIKE '%Amount%' OR feature LIKE '%amount%' THEN 'Amount' ELSE 'Engineered' END AS "group"
+FROM rk WHERE rank <= 20"""
+    ),
+)
+def q_top_features(spark, sf_dir):
+    raw = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.abs(X.correlation(F.col("value"), F.col("Class").cast("double"))).alias("raw"))
+    raw = raw.join(F.broadcast(_feature_lookup(spark).select("feature", "position")), "feature")
+    return X.top_features(X.rank_importance(raw), 20).select("feature", "rank", "display_name", "group")
+
+
+@register(
+    "feature_label_correlation",
+    O.with_tx(
+        _LONG_SQL
+        + f"""
+SELECT CAST(CAST(floor(fmod(Time / 3600.0, 24.0)) AS INTEGER) // 6 AS INTEGER) AS day_part, feature,
+       {r6(_CORR_SQL)} AS contribution
+FROM long JOIN (SELECT id, Time FROM tx) USING (id) GROUP BY ALL"""
+    ),
+)
+def q_feature_label_correlation(spark, sf_dir):
+    # zero-safe correlation aggregate (explanation contributions), per quarter of the day and feature
+    lng = _engineered_long(spark, sf_dir).join(tables.transactions(spark, sf_dir).select("id", "Time"), "id")
+    part = (F.floor(F.pmod(F.col("Time") / 3600.0, F.lit(24.0))).cast("int") / 6).cast("int")
+    out = lng.groupBy(part.alias("day_part"), "feature").agg(X.correlation(F.col("value"), F.col("Class").cast("double")).alias("contribution"))
+    return rounded(out)
+
+
+@register(
+    "noise_scale",
+    O.with_tx(
+        f"""
+SELECT id, {r6("list_stddev_pop([" + ", ".join(V_COLUMNS) + "]) * 0.1 + 1e-8", 8)} AS noise_scale FROM tx"""
+    ),
+)
+def q_noise_scale(spark, sf_dir):
+    tx = tables.transactions(spark, sf_dir)
+    return rounded(tx.select("id", X.noise_scale(K.vector(V_COLUMNS)).alias("noise_scale")), 8)
+
+
+@register(
+    "csv_ingest_roundtrip",
+    O.with_tx("\nSELECT id, Class, " + ", ".join(f"{c}" for c in ["Time", "Amount"] + V_COLUMNS) + " FROM tx WHERE Class IN (0, 1)"),
+)
+def q_csv_ingest(spark, sf_dir):
+    """Transactions written as CSV (columns shuffled, one extra) and read back by header name."""
+    from txrisk.session import checkpoint_dir
+    from txrisk.sources import ingest
+
+    import uuid
+
+    tx = tables.transactions(spark, sf_dir)
+    cols = list(reversed(tx.columns))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-ingest-{uuid.uuid4().hex}"
+    tx.select(*cols, F.lit("x").alias("note")).write.option("header", True).csv(path)
+    back = ingest.read_transactions_csv(spark, path)
+    return cleaning.clean(back).select("id", "Class", "Time", "Amount", *V_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# Trained models: scoring, evaluation, importance, explanations, stream (rows-only: M1-M10, ST1-ST6)
+# ---------------------------------------------------------------------------
+
+from txrisk.operators import alerts as A  # noqa: E402
+from txrisk.plans import models as M  # noqa: E402
+from txrisk.plans.scoring import score_records, score_table  # noqa: E402
+
+_TRAINED: dict = {}
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from txrisk.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def trained_models(spark: SparkSession, sf_dir: str):
+    """Split, fit statistics on train, features, and three small models (cached per session and folder)."""
+    key = (id(spark.sparkContext), sf_dir)
+    if key not in _TRAINED:
+        tx = tables.transactions(spark, sf_dir)
+        split = S.with_split(tx)
+        stats_ = features.fit_feature_stats(split.filter(F.col("split") == "train"))
+        feats, _ = features.engineer_features(split, stats_)
+        path = _scratch(spark, "features")
+        feats.write.parquet(path)  # cut the lineage before model loops
+        feats = spark.read.parquet(path)
+        train = feats.filter(F.col("split") == "train").drop("split")
+        test = feats.filter(F.col("split") == "test").drop("split")
+        train_w = S.with_class_weights(train).cache()
+        total_w = train_w.agg(F.sum("weight")).first()[0]
+        models = {
+            "Logistic Regression": M.fit(M.logistic_regression("weight", max_iter=100, total_weight=total_w), train_w),
+            "Random Forest": M.fit(M.random_forest("weight", num_trees=30, max_depth=8), train_w),
+            "Gradient Boosting": M.fit(M.gradient_boosting(max_iter=20, max_depth=4), train),
+        }
+        _TRAINED[key] = (stats_, models, test)
+    return _TRAINED[key]
+
+
+@register("model_scores")
+def q_model_scores(spark, sf_dir):
+    stats_, models, test = trained_models(spark, sf_dir)
+    scored = score_table(models["Gradient Boosting"], test.select("id", "Time", "Amount", *V_COLUMNS), stats_, keep=("id", "Time"))
+    return A.assign_tx_ids(scored, ["Time", "id"])
+
+
+@register("model_evaluation")
+def q_model_evaluation(spark, sf_dir):
+    _, models, test = trained_models(spark, sf_dir)
+    return metrics.metrics_record(metrics.evaluate(M.predictions_long(models, test), 0.5))
+
+
+@register("model_feature_importance")
+def q_model_importance(spark, sf_dir):
+    _, models, _ = trained_models(spark, sf_dir)
+    return X.importance_table(spark, FEATURE_COLUMNS, M.importance_vector(models["Gradient Boosting"]))
+
+
+@register("local_explanations")
+def q_local_explanations(spark, sf_dir):
+    # every flagged (SUSPICIOUS or FRAUD) test row, 500 perturbations each
+    _, models, test = trained_models(spark, sf_dir)
+    gb = models["Gradient Boosting"]
+    scored = A.score(M.probability_of_fraud(gb.transform(test)), threshold=0.5)
+    flagged = scored.filter(F.col("risk_level").isin("SUSPICIOUS", "FRAUD")).select("id", *FEATURE_COLUMNS)
+    return X.explain_local(gb, flagged, id_col="id", n_perturbations=500)
+
+
+@register("record_scoring")
+def q_record_scoring(spark, sf_dir):
+    stats_, models, test = trained_models(spark, sf_dir)
+    recs = test.select(F.format_string("REC_%d", F.col("id")).alias("tx_id"), "Time", "Amount", *V_COLUMNS)
+    return score_records(models["Gradient Boosting"], recs, stats_)
+
+
+@register("stream_prediction_log")
+def q_stream_log(spark, sf_dir):
+    """All transactions streamed day by day through the scorer; the dated log read back."""
+    from txrisk.sources import artifacts
+    from txrisk.streaming.scorer import StreamScorer, read_stream
+
+    stats_, models, _ = trained_models(spark, sf_dir)
+    tx = tables.transactions(spark, sf_dir)
+    base = _scratch(spark, "stream")
+    tx.withColumn("day", F.floor(F.col("Time") / 86400).cast("int")).write.partitionBy("day").parquet(f"{base}/in")
+    scorer = StreamScorer(spark, models["Gradient Boosting"], stats_, f"{base}/log", f"{base}/state")
+    from pyspark.sql import types as T
+
+    schema = T.StructType(tx.schema.fields + [T.StructField("day", T.IntegerType())])
+    q = scorer.start(read_stream(spark, f"{base}/in", schema, max_files=1000).drop("day"), f"{base}/ckpt")
+    q.awaitTermination()
+    return artifacts.read_log(spark, f"{base}/log").drop("log_date", "timestamp")
