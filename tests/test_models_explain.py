@@ -93,3 +93,17 @@ def test_noise_scale_and_correlation(spark):
     assert v == pytest.approx(((1.25) ** 0.5) * 0.1 + 1e-8)
     z = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert z.agg(explain.correlation(F.col("a"), F.col("b"))).first()[0] == 0.0  # zero variance -> 0, no error
+
+
+def test_random_search_with_stratified_folds(spark, trained):
+    from txrisk.operators import sampling
+
+    _, feats, _, _ = trained
+    train = sampling.stratified_folds(feats.select("id", "Class", *FEATURE_COLUMNS), 3)
+    grid = {"numTrees": [3, 5], "maxDepth": [2, None], "min_samples_split": [2, 5]}
+    maps = M.draw_param_maps(M.random_forest(), grid, 2, seed=1)
+    assert len(maps) == 2 and all(len(m) == 2 for m in maps)  # the sklearn-only parameter is dropped
+    rf = M.tune(M.random_forest(num_trees=3, max_depth=2), grid, 2, M.f1_of_fraud(), train, parallelism=2)
+    gb = M.tune(M.gradient_boosting(max_iter=3, max_depth=2), {"maxIter": [2, 3], "stepSize": [0.1, 0.2]}, 2, M.AveragePrecisionEvaluator(), train)
+    for m in (rf, gb):
+        assert M.predict(m, feats.limit(5)).count() == 5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,42 +49,42 @@ def fraud_rate_by_hour(df: DataFrame, label: str = "Class") -> DataFrame:
     return out.withColumn("highlighted", F.col("fraud_rate") > F.lit(HIGH_RATE_FLAG))
 
 
+def log_edges(lo_value: float, hi_value: float, n_edges: int = 50) -> list[float]:
+    """``10 ** linspace(log10(max(lo, 0.01)), log10(hi), n)``; the last exponent is exactly log10(hi)."""
+    lo = math.log10(max(lo_value, 0.01))
+    hi = math.log10(hi_value)
+    step = (hi - lo) / float(n_edges - 1)
+    return [10.0 ** (hi if i == n_edges - 1 else i * step + lo) for i in range(n_edges)]
+
+
 def amount_histogram(df: DataFrame, label: str = "Class", n_edges: int = 50) -> DataFrame:
     """Log-spaced Amount histogram per class, density-normalised per class.
 
-    Edges: ``10 ** linspace(log10(max(min, 0.01)), log10(max), 50)`` (last edge
-    exactly the max); a value falls into bin i when edge_i <= v < edge_{i+1},
-    the last bin also takes v == max.  Values below the first edge are out of
+    Edges: :func:`log_edges` over the table's min/max (two scalars, inlined as a
+    50-element literal).  A value falls into bin i when edge_i <= v < edge_{i+1};
+    the last bin also takes v == max; values below the first edge are out of
     range.  density = count / (in-range count of the class * bin width).
     Output: Class, bin, lo, hi, count, density.
     """
     mm = df.agg(F.min("Amount").alias("mn"), F.max("Amount").alias("mx")).first()
-    if mm["mx"] is None:
+    if mm["mx"] is None or mm["mx"] <= 0:
         return df.sparkSession.createDataFrame([], "Class int, bin int, lo double, hi double, count bigint, density double")
     last = n_edges - 1
-    lo_exp = F.log10(F.greatest(F.lit(mm["mn"]), F.lit(0.01)))
-    hi_exp = F.log10(F.lit(mm["mx"]))
-    step = (hi_exp - lo_exp) / F.lit(float(last))
-    edges = F.transform(
-        F.sequence(F.lit(0), F.lit(last)),
-        lambda i: F.pow(F.lit(10.0), F.when(i == last, hi_exp).otherwise(i * step + lo_exp)),
-    )
+    edges = F.array(*[F.lit(e) for e in log_edges(mm["mn"], mm["mx"], n_edges)])
     # bin = number of edges <= v, minus one; the right edge closes the last bin
-    binned = df.select(F.col(label).alias("Class"), "Amount").withColumn("_e", edges)
-    idx = F.size(F.filter(F.col("_e"), lambda e: e <= F.col("Amount"))) - 1
-    binned = binned.select("Class", F.least(idx, F.lit(last - 1)).alias("bin"), "_e").filter(F.col("bin") >= 0)
-    counts = binned.groupBy("Class", "bin").agg(
-        F.count(F.lit(1)).alias("count"), F.first("_e").alias("_e")
-    )
-    per_class = Window.partitionBy("Class")  # <= 2 classes x 49 bins: tiny
-    width = F.col("_e")[F.col("bin") + 1] - F.col("_e")[F.col("bin")]
+    idx = F.size(F.filter(edges, lambda e: e <= F.col("Amount"))) - 1
+    binned = df.select(F.col(label).alias("Class"), F.least(idx, F.lit(last - 1)).alias("bin")).filter(F.col("bin") >= 0)
+    counts = binned.groupBy("Class", "bin").agg(F.count(F.lit(1)).alias("count"))
+    per_class = Window.partitionBy("Class")  # <= classes x 49 bins: tiny
+    lo = F.element_at(edges, F.col("bin") + 1)
+    hi = F.element_at(edges, F.col("bin") + 2)
     return counts.select(
         F.col("Class").cast("int").alias("Class"),
         F.col("bin").cast("int").alias("bin"),
-        F.col("_e")[F.col("bin")].alias("lo"),
-        F.col("_e")[F.col("bin") + 1].alias("hi"),
+        lo.alias("lo"),
+        hi.alias("hi"),
         "count",
-        (F.col("count") / (F.sum("count").over(per_class) * width)).alias("density"),
+        (F.col("count") / (F.sum("count").over(per_class) * (hi - lo))).alias("density"),
     )
 
 
@@ -91,28 +93,42 @@ def amount_boxplot(df: DataFrame, label: str = "Class", cap_quantile: float = 0.
 
     q1/median/q3 are linear-interpolation quantiles of the capped values;
     whiskers are the most extreme capped values within 1.5 IQR of the box;
-    n_fliers counts values outside the whiskers.
+    n_fliers counts values outside the whiskers.  Per-class scalars (one row
+    per class) come from :func:`quantiles_by` and are inlined as literal maps.
     """
+    from txrisk.operators.stats import quantiles_by
+
     keyed = df.select(F.col(label).alias("Class"), "Amount").filter(F.col("Amount").isNotNull())
-    caps = keyed.groupBy("Class").agg(F.percentile("Amount", F.lit(cap_quantile)).alias("_cap"))
-    # per-class scalars: one row per class (<= 2), joined back by broadcast
-    capped = keyed.join(F.broadcast(caps), "Class").select("Class", F.least("Amount", "_cap").alias("v"))
-    box = capped.groupBy("Class").agg(
-        F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.count(F.lit(1)).alias("n")
-    )
-    box = box.select("Class", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    box = box.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
-        "_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    )
-    j = capped.join(F.broadcast(box), "Class")
-    inside = (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
-    w = j.groupBy("Class", "n", "q1", "median", "q3").agg(
+    caps = {g: q[0] for g, q in quantiles_by(keyed, "Class", "Amount", [cap_quantile]).items()}
+    if not caps:
+        return df.sparkSession.createDataFrame([], "Class int, n long, q1 double, median double, q3 double, whislo double, whishi double, n_fliers long")
+
+    def lookup(values: dict):
+        return F.create_map(*[x for g, v in values.items() for x in (F.lit(g), F.lit(float(v)))])[F.col("Class")]
+
+    capped = keyed.select("Class", F.least(F.col("Amount"), lookup(caps)).alias("v"))
+    box = quantiles_by(capped, "Class", "v", [0.25, 0.5, 0.75])
+    q1 = {g: q[0] for g, q in box.items()}
+    med = {g: q[1] for g, q in box.items()}
+    q3 = {g: q[2] for g, q in box.items()}
+    lo = {g: q1[g] - 1.5 * (q3[g] - q1[g]) for g in box}
+    hi = {g: q3[g] + 1.5 * (q3[g] - q1[g]) for g in box}
+    inside = (F.col("v") >= lookup(lo)) & (F.col("v") <= lookup(hi))
+    w = capped.groupBy("Class").agg(
+        F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, F.col("v"))).alias("whislo"),
         F.max(F.when(inside, F.col("v"))).alias("whishi"),
         F.count_if(~inside).alias("n_fliers"),
     )
     return w.select(
-        F.col("Class").cast("int").alias("Class"), "n", "q1", "median", "q3", "whislo", "whishi", "n_fliers"
+        F.col("Class").cast("int").alias("Class"),
+        "n",
+        lookup(q1).alias("q1"),
+        lookup(med).alias("median"),
+        lookup(q3).alias("q3"),
+        "whislo",
+        "whishi",
+        "n_fliers",
     )
 
 

@@ -53,6 +53,44 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     return {c: _sorted_quantiles(df, c, probs) for c in cols}
 
 
+def quantiles_by(df: DataFrame, group_col: str, value_col: str, probs: Sequence[float], method: str = "auto") -> dict:
+    """Exact linear quantiles of ``value_col`` per value of a low-cardinality ``group_col``: {group: [q...]}.
+
+    Small inputs use one grouped ``percentile``; large ones read the values off a
+    sort ranged over (group, value), so a group holding most rows is still
+    spread over many tasks.
+    """
+    vals = df.select(F.col(group_col).alias("_g"), F.col(value_col).alias("_v")).filter(F.col("_v").isNotNull())
+    if method == "auto":
+        method = "agg" if vals.count() <= EXACT_AGG_ROWS else "sort"
+    if method == "agg":
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        return {r["_g"]: list(r["q"]) for r in vals.groupBy("_g").agg(F.percentile("_v", arr).alias("q")).collect()}
+    counts = {r["_g"]: r["n"] for r in vals.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {}
+    for g, n in counts.items():
+        for p in probs:
+            h = p * (n - 1)
+            lo = int(h // 1)
+            wanted[(g, p)] = (h, lo, min(lo + 1, n - 1))
+    pairs = {(g, i) for (g, _), (_, lo, hi) in wanted.items() for i in (lo, hi)}
+    pos = with_positions(vals, ["_v"], group_cols=["_g"])
+    cond = None
+    for g, i in pairs:
+        c = F.col("_g").eqNullSafe(F.lit(g)) & (F.col("_pos") == i)
+        cond = c if cond is None else cond | c
+    picked = {(r["_g"], r["_pos"]): r["_v"] for r in pos.filter(cond).select("_g", "_pos", "_v").collect()}
+    out = {}
+    for g in counts:
+        qs = []
+        for p in probs:
+            h, lo, hi = wanted[(g, p)]
+            a, b = picked[(g, lo)], picked[(g, hi)]
+            qs.append(a + (h - lo) * (b - a))
+        out[g] = qs
+    return out
+
+
 def dataset_stats(df: DataFrame, label: str = "Class") -> DataFrame:
     """One-row profile: counts, fraud share, imbalance, Amount describe(), time range.
 

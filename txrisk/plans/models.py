@@ -64,8 +64,11 @@ def random_forest(
     min_instances_per_node: int = 2,
     subset: str = "sqrt",
     seed: int = 42,
-    max_memory_mb: int = 1024,
+    max_memory_mb: int = 2048,
+    cache_node_ids: bool = True,
 ) -> RandomForestClassifier:
+    """Deep forests: node ids are cached (and checkpointed with the session's checkpoint folder) so each
+    level does not re-route every row from the root; ``max_memory_mb`` bounds the histogram memory per pass."""
     rf = RandomForestClassifier(
         featuresCol=FEATURES,
         labelCol="label",
@@ -75,6 +78,8 @@ def random_forest(
         featureSubsetStrategy=subset,
         seed=seed,
         maxMemoryInMB=max_memory_mb,
+        cacheNodeIds=cache_node_ids,
+        checkpointInterval=10,
     )
     if weight_col:
         rf.setWeightCol(weight_col)
