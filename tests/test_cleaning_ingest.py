@@ -101,3 +101,12 @@ def test_sorted_quantiles_equal_aggregate(spark):
     a = stats.quantiles(df, ["Amount"], [0.25, 0.5, 0.95], method="agg")["Amount"]
     b = stats.quantiles(df, ["Amount"], [0.25, 0.5, 0.95], method="sort")["Amount"]
     assert a == pytest.approx(b, abs=1e-12)
+
+
+def test_grouped_sorted_quantiles_equal_aggregate(spark):
+    df = spark.range(3001).select((F.col("id") % 3 == 0).cast("int").alias("g"), ((F.col("id") * 7919) % 1001 / 7.0).alias("v"))
+    a = stats.quantiles_by(df, "g", "v", [0.25, 0.5, 0.75, 0.99], method="agg")
+    b = stats.quantiles_by(df, "g", "v", [0.25, 0.5, 0.75, 0.99], method="sort")
+    assert a.keys() == b.keys()
+    for g in a:
+        assert a[g] == pytest.approx(b[g], abs=1e-12)

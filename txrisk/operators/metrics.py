@@ -211,11 +211,18 @@ def best_f1_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def minmax_normalise(df: DataFrame, col: str, out: str, by: str | None = None) -> DataFrame:
-    """(x - min) / (max - min + 1e-9), per ``by`` group (decision scores without probabilities)."""
+    """(x - min) / (max - min + 1e-9), per ``by`` group (decision scores without probabilities).
+
+    The per-group min/max (one row per model) are collected and inlined as literals.
+    """
     keys = [by] if by else []
-    mm = df.groupBy(*keys).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-    j = df.join(F.broadcast(mm), keys) if keys else df.crossJoin(F.broadcast(mm))
-    return j.withColumn(out, (F.col(col) - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + F.lit(1e-9))).drop("_mn", "_mx")
+    rows = df.groupBy(*keys).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx")).collect()
+    if by:
+        mn = F.create_map(*[x for r in rows for x in (F.lit(r[by]), F.lit(r["_mn"]))])[F.col(by)]
+        mx = F.create_map(*[x for r in rows for x in (F.lit(r[by]), F.lit(r["_mx"]))])[F.col(by)]
+    else:
+        mn, mx = F.lit(rows[0]["_mn"]), F.lit(rows[0]["_mx"])
+    return df.withColumn(out, (F.col(col) - mn) / (mx - mn + F.lit(1e-9)))
 
 
 def best_by_recall(metrics: DataFrame, order_col: str = "position") -> DataFrame:

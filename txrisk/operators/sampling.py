@@ -115,19 +115,27 @@ def stratified_folds(df: DataFrame, n_folds: int = 3, label: str = "Class", seed
     return ranked.withColumn(fold_col, F.pmod(F.col("_fpos"), F.lit(n_folds)).cast("int")).drop("_fpos")
 
 
+def class_weight_map(df: DataFrame, label: str = "Class") -> dict:
+    """{class: n / (n_classes * count_c)} over the classes present (one collected row per class)."""
+    counts = class_counts_map(df, label)
+    n, k = sum(counts.values()), len(counts)
+    return {c: n / (k * cnt) for c, cnt in counts.items()}
+
+
 def class_weights(df: DataFrame, label: str = "Class") -> DataFrame:
-    """``label, count, weight`` with weight = n / (n_classes * count_c) over the classes present."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    tot = counts.agg(F.sum("count").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    # one row per class and a one-row total: the join key is constant
-    j = counts.withColumn("_one", F.lit(1)).join(F.broadcast(tot.withColumn("_one", F.lit(1))), "_one")
-    return j.select(F.col(label), "count", (F.col("_n") / (F.col("_k") * F.col("count"))).alias("weight"))
+    """``label, count, weight`` with weight = n / (n_classes * count_c)."""
+    counts = class_counts_map(df, label)
+    w = class_weight_map(df, label) if counts else {}
+    rows = [(c, counts[c], w[c]) for c in sorted(counts, key=lambda x: (x is None, x))]
+    dtype = dict(df.dtypes)[label]
+    return df.sparkSession.createDataFrame(rows, f"{label} {dtype}, count long, weight double")
 
 
 def with_class_weights(df: DataFrame, label: str = "Class", weight_col: str = "weight") -> DataFrame:
-    """Attach the class weight of each row (classes table is tiny: broadcast)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label)
+    """Attach each row's class weight from a literal class -> weight map (no join)."""
+    w = class_weight_map(df, label)
+    m = F.create_map(*[x for c, v in w.items() for x in (F.lit(c), F.lit(float(v)))])
+    return df.withColumn(weight_col, m[F.col(label)])
 
 
 def distinct_classes(df: DataFrame, label: str = "Class") -> DataFrame:
