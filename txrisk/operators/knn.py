@@ -223,23 +223,24 @@ def _nbrs_pivot(dv: DataFrame, k: int, n_distinct: int, target_cell: int = 2048,
     def replicate(batches):
         P = bc_p.value
         rad, th = bc_c.value
-        used = rad >= 0
+        psq = (P**2).sum(axis=1)
+        limit2 = np.where(rad >= 0, (rad + th) ** 2, -np.inf)
+        eps = np.finfo(np.float64).eps
         for b in batches:
             if len(b) == 0:
                 continue
             X = _to_matrix(b["vec"])
-            rows_v, rows_c, rows_h, rows_i = [], [], [], []
-            for i in range(len(X)):
-                d = np.sqrt(((P - X[i]) ** 2).sum(axis=1))
-                home = int(b["cell"].iloc[i])
-                reach = np.nonzero(used & (d <= rad + th))[0]
-                for c in set(reach.tolist()) | {home}:
-                    rows_i.append(i)
-                    rows_c.append(c)
-                    rows_h.append(c == home)
+            xsq = (X**2).sum(axis=1)
+            d2 = xsq[:, None] + psq[None, :] - 2.0 * X @ P.T
+            # rounding bound of the expanded squared distance: the slack only adds copies, never drops one
+            slack = 4.0 * (X.shape[1] + 2) * eps * (xsq[:, None] + psq[None, :])
+            home = b["cell"].to_numpy(np.int64)
+            reach = d2 <= limit2[None, :] + slack
+            reach[np.arange(len(X)), home] = True
+            rows_i, rows_c = np.nonzero(reach)
             sel = b.iloc[rows_i]
             yield pd.DataFrame({"vid": sel["vid"].to_numpy(), "vec": sel["vec"].to_numpy(), "mult": sel["mult"].to_numpy(),
-                                "cell": np.asarray(rows_c, dtype="int32"), "home": rows_h})
+                                "cell": rows_c.astype("int32"), "home": rows_c == home[rows_i]})
 
     spread = cells.mapInPandas(replicate, rep_schema)
 
