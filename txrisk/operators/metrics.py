@@ -57,15 +57,24 @@ def score_counts(pred: DataFrame) -> DataFrame:
 def cumulative_by_score(pred: DataFrame) -> DataFrame:
     """Distinct scores in descending order with inclusive cumulative tp/fp per model.
 
-    Output: model, p, npos, nneg, tp, fp, tot_pos, tot_neg.
+    Output: model, p, npos, nneg, tp, fp, tot_pos, tot_neg.  The input is read
+    once (into the distinct-score table); totals are the last cumulative values.
     """
     sc = score_counts(pred)
     cum = running_sums(sc, [F.col("p").desc()], ["npos", "nneg"], group_cols=["model"])
-    totals = sc.groupBy("model").agg(F.sum("npos").alias("tot_pos"), F.sum("nneg").alias("tot_neg"))
+    cum = cum.select("model", "p", "npos", "nneg", F.col("npos_cum").alias("tp"), F.col("nneg_cum").alias("fp"))
+    totals = cum.groupBy("model").agg(F.max("tp").alias("tot_pos"), F.max("fp").alias("tot_neg"))
     # one row per model
-    return cum.join(F.broadcast(totals), "model").select(
-        "model", "p", "npos", "nneg", F.col("npos_cum").alias("tp"), F.col("nneg_cum").alias("fp"), "tot_pos", "tot_neg"
-    )
+    return cum.join(F.broadcast(totals), "model")
+
+
+def _auc_expr() -> Column:
+    below = F.col("tot_neg") - F.col("fp")
+    return F.try_divide(F.sum(F.col("npos") * (below + F.col("nneg") / 2.0)), F.max("tot_pos") * F.max("tot_neg"))
+
+
+def _ap_expr() -> Column:
+    return F.sum(_ratio(F.col("npos"), F.col("tot_pos")) * _ratio(F.col("tp"), F.col("tp") + F.col("fp")))
 
 
 def auc_ap(pred: DataFrame) -> DataFrame:
@@ -74,23 +83,28 @@ def auc_ap(pred: DataFrame) -> DataFrame:
     AUC = sum over scores of npos * (negatives below + nneg/2) / (P*N);
     AP  = sum over scores of (npos/P) * tp/(tp+fp).
     """
-    c = cumulative_by_score(pred)
-    below = F.col("tot_neg") - F.col("fp")
-    return c.groupBy("model").agg(
-        F.try_divide(
-            F.sum(F.col("npos") * (below + F.col("nneg") / 2.0)), F.first("tot_pos") * F.first("tot_neg")
-        ).alias("roc_auc"),
-        F.sum(_ratio(F.col("npos"), F.col("tot_pos")) * _ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("pr_auc"),
-    )
+    return cumulative_by_score(pred).groupBy("model").agg(_auc_expr().alias("roc_auc"), _ap_expr().alias("pr_auc"))
 
 
 def evaluate(pred: DataFrame, threshold: float = 0.5, digits: int | None = 4) -> DataFrame:
-    """Metrics table per model: threshold, precision, recall, f1_score, roc_auc, pr_auc, tn, fp, fn, tp."""
-    cm = confusion(pred, threshold)
-    p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    """Metrics table per model: threshold, precision, recall, f1_score, roc_auc, pr_auc, tn, fp, fn, tp.
+
+    Confusion cells, AUC and AP come from one aggregation over the distinct-score table.
+    """
+    at = F.col("p") >= F.lit(threshold)
+    agg = cumulative_by_score(pred).groupBy("model").agg(
+        F.sum(F.when(at, F.col("npos")).otherwise(F.lit(0))).alias("_tp"),
+        F.sum(F.when(at, F.col("nneg")).otherwise(F.lit(0))).alias("_fp"),
+        F.max("tot_pos").alias("_P"),
+        F.max("tot_neg").alias("_N"),
+        _auc_expr().alias("roc_auc"),
+        _ap_expr().alias("pr_auc"),
+    )
+    tp, fp = F.col("_tp"), F.col("_fp")
+    fn, tn = F.col("_P") - tp, F.col("_N") - fp
+    p, r, f = prf(tp, fp, fn)
     rnd = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    scores = auc_ap(pred)
-    out = cm.join(scores, "model", "left").select(
+    return agg.select(
         F.col("model").alias("model_name"),
         F.lit(float(threshold)).alias("threshold"),
         rnd(p).alias("precision"),
@@ -98,12 +112,11 @@ def evaluate(pred: DataFrame, threshold: float = 0.5, digits: int | None = 4) ->
         rnd(f).alias("f1_score"),
         rnd(F.col("roc_auc")).alias("roc_auc"),
         rnd(F.col("pr_auc")).alias("pr_auc"),
-        "tn",
-        "fp",
-        "fn",
-        "tp",
+        tn.cast("bigint").alias("tn"),
+        fp.cast("bigint").alias("fp"),
+        fn.cast("bigint").alias("fn"),
+        tp.cast("bigint").alias("tp"),
     )
-    return out
 
 
 def metrics_record(metrics: DataFrame, evaluated_at: Column | None = None) -> DataFrame:
@@ -123,7 +136,7 @@ def roc_points(pred: DataFrame) -> DataFrame:
     pts = c.select(
         "model", F.col("p").alias("score"), _ratio(F.col("fp"), F.col("tot_neg")).alias("fpr"), _ratio(F.col("tp"), F.col("tot_pos")).alias("tpr")
     )
-    start = pred.select("model").distinct().select("model", F.lit(float("inf")).alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    start = c.select("model").distinct().select("model", F.lit(float("inf")).alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(start)
 
 
@@ -136,7 +149,7 @@ def pr_points(pred: DataFrame) -> DataFrame:
         _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         _ratio(F.col("tp"), F.col("tot_pos")).alias("recall"),
     )
-    end = pred.select("model").distinct().select(
+    end = c.select("model").distinct().select(
         "model", F.lit(None).cast("double").alias("score"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
     )
     return pts.unionByName(end)
@@ -174,7 +187,7 @@ def threshold_sweep(pred: DataFrame) -> DataFrame:
         F.count_if(F.col("label") == 1).alias("bpos"), F.count_if(F.col("label") != 1).alias("bneg")
     )
     # full 0..98 grid per model (models x 99 rows), filled from the bucket counts
-    grid = pred.select("model").distinct().select("model", F.explode(F.sequence(F.lit(-1), F.lit(SWEEP_N - 1))).alias("j"))
+    grid = buckets.select("model").distinct().select("model", F.explode(F.sequence(F.lit(-1), F.lit(SWEEP_N - 1))).alias("j"))
     full = grid.join(buckets, ["model", "j"], "left").fillna(0, subset=["bpos", "bneg"])
     rev = Window.partitionBy("model").orderBy(F.col("j").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     allw = Window.partitionBy("model")  # <= 100 rows per model
