@@ -42,13 +42,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder there).  Only when it is unset -- local runs and tests -- a fresh
     scratch folder is created and registered.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="txrisk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # core settings may be read-only at runtime; the context setting below suffices
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
