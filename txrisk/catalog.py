@@ -31,12 +31,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def report_round(c, digits: int) -> F.Column:
+    """floor(x * 10^d + 0.5) / 10^d in doubles: the same IEEE steps as the oracle SQL (``oracle.r6``)."""
+    scale = float(10**digits)
+    finite = ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    return F.when(finite, F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)).otherwise(c)
+
+
 def rounded(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
-    """Round every double column (and -0.0 -> 0.0); ``per_column`` overrides the digits."""
+    """Report-round every double column; ``per_column`` overrides the digits."""
     types = dict(df.dtypes)
     return df.select(
         *[
-            (F.round(F.col(c), per_column.get(c, digits)) + F.lit(0.0)).alias(c) if types[c] in ("double", "float") else F.col(c)
+            report_round(F.col(c), per_column.get(c, digits)).alias(c) if types[c] in ("double", "float") else F.col(c)
             for c in df.columns
         ]
     )

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.operators.ordering import DEFAULT_BLOCK_ROWS, rolling_aggregate
+from txrisk.operators.ordering import rolling_aggregate
 from txrisk.operators.stats import FeatureStats, fit_feature_stats
 from txrisk.schema import ENGINEERED_COLUMNS, FEATURE_COLUMNS, ROLLING_ROWS
 
@@ -41,7 +41,7 @@ def rolling_features(
     df: DataFrame,
     order_cols=("Time", "id"),
     rows: int = ROLLING_ROWS,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """tx_velocity, rolling_avg_amount, amount_deviation over the table ordered by Time.
 
@@ -69,7 +69,7 @@ def engineer_features(
     df: DataFrame,
     stats: FeatureStats | None = None,
     rolling: bool = True,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> tuple[DataFrame, FeatureStats]:
     """All engineered columns; statistics are fitted on ``df`` unless given.
 

@@ -93,6 +93,8 @@ def _solve(qids, qvec, qmult, xids, xvec, xmult, k, margin=8):
     if len(xids) == 0:
         return out_v, out_w, out_d
     xsq = (xvec**2).sum(axis=1)
+    eps = np.finfo(np.float64).eps
+    xsq_max = float(xsq.max())
     for s in range(0, len(qids), _Q_BLOCK):
         qb = qvec[s : s + _Q_BLOCK]
         qsq = (qb**2).sum(axis=1)
@@ -120,10 +122,15 @@ def _solve(qids, qvec, qmult, xids, xvec, xmult, k, margin=8):
             cand = best_i[r]
             d = _exact_dist(qvec[qi], xvec[cand])
             d_sel, i_sel = _pick(d, xids[cand], xmult[cand], need, int(qids[qi]))
-            saturated = len(i_sel) >= len(cand) - 1 and len(cand) < len(xids)
-            if saturated:  # the cut reached the candidate margin: score everything exactly
-                d = _exact_dist(qvec[qi], xvec)
-                d_sel, i_sel = _pick(d, xids, xmult, need, int(qids[qi]))
+            if len(cand) < len(xids):
+                # every vector left out has an expanded distance >= the largest kept one; if the cut
+                # is not clearly below that (rounding bound of the expansion), score all exactly
+                kept_max = float(best_d[r].max())
+                slack = 4.0 * (xvec.shape[1] + 2) * eps * (float(qsq[r]) + xsq_max)
+                cut = float(d_sel[-1]) ** 2 if len(d_sel) else np.inf
+                if len(d_sel) == 0 or cut >= kept_max - slack:
+                    d = _exact_dist(qvec[qi], xvec)
+                    d_sel, i_sel = _pick(d, xids, xmult, need, int(qids[qi]))
             out_v.extend([int(qids[qi])] * len(i_sel))
             out_w.extend(int(x) for x in i_sel)
             out_d.extend(float(x) for x in d_sel)

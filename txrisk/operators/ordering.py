@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from txrisk.session import shuffle_partitions
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
-DEFAULT_BLOCK_ROWS = 1 << 20
+DEFAULT_BLOCK_ROWS = 1 << 20  # upper bound of a window block (rows sorted in one task)
 
 _HELD: list[DataFrame] = []
 
@@ -98,7 +98,7 @@ def rolling_aggregate(
     aggs: dict[str, Column],
     rows: int,
     pos_col: str = "_pos",
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    block_rows: int | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Frame ``ROWS BETWEEN rows-1 PRECEDING AND CURRENT ROW`` over the whole table.
@@ -108,9 +108,21 @@ def rolling_aggregate(
     of the rows are duplicated.
     """
     pos = with_positions(df, order_cols, pos_col=pos_col, num_partitions=num_partitions)
+    block_rows = block_rows or auto_block_rows(pos, rows)
     return rolling_over_positions(pos, aggs, rows, pos_col=pos_col, block_rows=block_rows)
 
 
+def auto_block_rows(pos: DataFrame, minimum: int = 1) -> int:
+    """Block size giving about two blocks per core, between the frame length and DEFAULT_BLOCK_ROWS.
+
+    ``pos`` is the output of :func:`with_positions`: counting it reads the persisted
+    range partitions (and fills them for the main job), not the source again.
+    """
+    n = pos.count()
+    cores = pos.sparkSession.sparkContext.defaultParallelism
+    return int(max(minimum, min(DEFAULT_BLOCK_ROWS, -(-n // max(1, 2 * cores)))))
+
+
 def rolling_over_positions(
     pos: DataFrame,
     aggs: dict[str, Column],
@@ -138,7 +150,7 @@ def running_sums(
     group_cols: Sequence[str] = (),
     suffix: str = "_cum",
     pos_col: str = "_pos",
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    block_rows: int | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_cols`` order within ``group_cols``.
@@ -147,6 +159,7 @@ def running_sums(
     """
     groups = list(group_cols)
     pos = with_positions(df, order_cols, group_cols=groups, pos_col=pos_col, num_partitions=num_partitions)
+    block_rows = block_rows or auto_block_rows(pos)
     pos = pos.withColumn("_blk", F.floor(F.col(pos_col) / F.lit(block_rows)))
     local = Window.partitionBy(*groups, "_blk").orderBy(pos_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pos = pos.select("*", *[F.sum(c).over(local).alias(f"_l_{c}") for c in value_cols])

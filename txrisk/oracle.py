@@ -11,8 +11,13 @@ from txrisk.schema import V_COLUMNS
 
 
 def r6(expr: str, digits: int = 6) -> str:
-    # "+ 0.0" turns a -0.0 from rounding into 0.0, as Spark's round does
-    return f"(round({expr}, {digits}) + 0.0)"
+    """Report rounding, the same IEEE steps as ``catalog.rounded``: floor(x * 10^d + 0.5) / 10^d.
+
+    Both engines then give bit-identical results for identical inputs, including
+    exact decimal ties (where decimal half-up and binary rounding disagree).
+    """
+    scale = f"1e{digits}"
+    return f"(CAST(floor(({expr}) * {scale} + 0.5) AS DOUBLE) / {scale})"
 
 
 _V = ",\n         ".join(f"CAST(v.embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(V_COLUMNS))
