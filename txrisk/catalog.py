@@ -783,7 +783,11 @@ def q_feature_profile(spark, sf_dir):
     return rounded(out)
 
 
-_CORR_SQL = "CASE WHEN stddev_pop(value) * stddev_pop(Class) = 0 THEN 0.0 ELSE coalesce(covar_pop(value, Class) / (stddev_pop(value) * stddev_pop(Class)), 0.0) END"
+_CORR_SQL = (
+    "CASE WHEN stddev_pop(value) <= 1e-10 * greatest(1.0, abs(avg(value))) "
+    "OR stddev_pop(Class) <= 1e-10 * greatest(1.0, abs(avg(Class))) THEN 0.0 "
+    "ELSE coalesce(covar_pop(value, Class) / (stddev_pop(value) * stddev_pop(Class)), 0.0) END"
+)
 
 
 @register(

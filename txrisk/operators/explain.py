@@ -55,9 +55,22 @@ def noise_scale(x: Column) -> Column:
     return F.sqrt(var) * NOISE_FACTOR + NOISE_FLOOR
 
 
+FLAT_RELATIVE = 1e-10
+
+
+def _flat(x: Column) -> Column:
+    # merged partial aggregates leave ~1e-15 of "spread" on a constant column: treat it as none
+    return F.stddev_pop(x) <= F.lit(FLAT_RELATIVE) * F.greatest(F.lit(1.0), F.abs(F.avg(x)))
+
+
 def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation as an aggregate; zero variance or undefined -> 0 (``corr`` would raise under ANSI)."""
-    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
+    """Pearson correlation as an aggregate; (numerically) zero variance or undefined -> 0.
+
+    ``corr`` would raise under ANSI on zero variance, and a constant column does
+    not come out with an exactly zero spread after partial aggregation.
+    """
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(_flat(a) | _flat(b), F.lit(0.0)).otherwise(F.coalesce(r, F.lit(0.0)))
 
 
 def explain_local(
