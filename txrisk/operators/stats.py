@@ -16,6 +16,21 @@ from txrisk.operators.ordering import with_positions
 # fine for millions of rows.  Above it, quantiles are read off a distributed
 # sort (exact, no single-task merge).
 EXACT_AGG_ROWS = 5_000_000
+EXACT_AGG_BYTES = 512 << 20  # same switch from the optimizer's size estimate (no job needed)
+
+
+def small_enough(df: DataFrame) -> bool:
+    """True when a one-pass ``percentile`` is safe.
+
+    A small optimizer size estimate decides without a job; estimates after joins
+    are pessimistic, so a large one is confirmed by counting rows.
+    """
+    try:
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= EXACT_AGG_BYTES:
+            return True
+    except Exception:
+        pass
+    return df.count() <= EXACT_AGG_ROWS
 
 
 def _sorted_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
@@ -45,7 +60,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     NULLs are ignored; a column without values yields None.
     """
     if method == "auto":
-        method = "agg" if df.count() <= EXACT_AGG_ROWS else "sort"
+        method = "agg" if small_enough(df) else "sort"
     if method == "agg":
         arr = F.array(*[F.lit(float(p)) for p in probs])
         row = df.agg(*[F.percentile(F.col(c), arr).alias(c) for c in cols]).first()
@@ -62,7 +77,7 @@ def quantiles_by(df: DataFrame, group_col: str, value_col: str, probs: Sequence[
     """
     vals = df.select(F.col(group_col).alias("_g"), F.col(value_col).alias("_v")).filter(F.col("_v").isNotNull())
     if method == "auto":
-        method = "agg" if vals.count() <= EXACT_AGG_ROWS else "sort"
+        method = "agg" if small_enough(vals) else "sort"
     if method == "agg":
         arr = F.array(*[F.lit(float(p)) for p in probs])
         return {r["_g"]: list(r["q"]) for r in vals.groupBy("_g").agg(F.percentile("_v", arr).alias("q")).collect()}
@@ -175,13 +190,22 @@ class FeatureStats:
 
 
 def fit_feature_stats(df: DataFrame, method: str = "auto") -> FeatureStats:
-    """Fit Amount quartiles/95th percentile and the mean/sample std of Time in hours."""
-    q = quantiles(df, ["Amount"], [0.25, 0.5, 0.75, 0.95], method=method)["Amount"]
-    row = df.agg(
-        F.avg(F.col("Time") / 3600.0).alias("m"),
-        F.stddev_samp(F.col("Time") / 3600.0).alias("s"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
+    """Fit Amount quartiles/95th percentile and the mean/sample std of Time in hours.
+
+    Small inputs: one aggregation for everything; large ones: sorted quantiles plus one aggregation.
+    """
+    probs = [0.25, 0.5, 0.75, 0.95]
+    hours = F.col("Time") / 3600.0
+    moments = [F.avg(hours).alias("m"), F.stddev_samp(hours).alias("s"), F.count(F.lit(1)).alias("n")]
+    if method == "auto":
+        method = "agg" if small_enough(df) else "sort"
+    if method == "agg":
+        arr = F.array(*[F.lit(p) for p in probs])
+        row = df.agg(F.percentile(F.col("Amount"), arr).alias("q"), *moments).first()
+        q = list(row["q"]) if row["q"] is not None else [None] * len(probs)
+    else:
+        q = quantiles(df, ["Amount"], probs, method="sort")["Amount"]
+        row = df.agg(*moments).first()
     iqr = (q[2] - q[0]) if q[0] is not None else None
     return FeatureStats(
         amount_median=q[1],
