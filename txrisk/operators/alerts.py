@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions import risk as R
-from txrisk.operators.ordering import with_positions
+from txrisk.operators.ordering import attach_positions
 from txrisk.schema import DEFAULT_ALERT_FILTER, DEFAULT_THRESHOLD, RISK_LEVELS
 
 LOG_COLUMNS = ["tx_id", "timestamp", "fraud_probability", "fraud_score", "risk_level", "decision", "threshold_used"]
@@ -31,9 +31,9 @@ def score(df: DataFrame, prob_col: str = "fraud_probability", threshold: float |
     return df.withColumns(cols)
 
 
-def assign_tx_ids(df: DataFrame, order_cols: Sequence[str | Column], col: str = "tx_id", fmt: str = "TX_%06d") -> DataFrame:
-    """Ids by 1-based position in a global order (scalable positions, no single-task window)."""
-    pos = with_positions(df, order_cols, pos_col="_txpos")
+def assign_tx_ids(df: DataFrame, order_cols: Sequence[str], col: str = "tx_id", fmt: str = "TX_%06d", key: str = "id") -> DataFrame:
+    """Ids by 1-based position in a global order (positions on the key columns, joined back on ``key``)."""
+    pos = attach_positions(df, order_cols, key=key, pos_col="_txpos")
     return pos.withColumn(col, F.format_string(fmt, F.col("_txpos") + 1)).drop("_txpos")
 
 

@@ -49,14 +49,11 @@ def rolling_features(
     ``rolling_avg_amount`` is the frame mean with at least one row.  Ties of Time
     are broken by ``id``.  Runs on the block/halo plan of ``ordering``.
     """
-    out = rolling_aggregate(
-        df,
-        list(order_cols),
-        {"rolling_avg_amount": F.avg("Amount")},
-        rows=rows,
-        pos_col="_tx_pos",
-        block_rows=block_rows,
-    )
+    # frames are computed on (id, Time, Amount) only and joined back once on the unique id
+    keys = list(order_cols)
+    narrow = df.select(*dict.fromkeys(["id", *keys, "Amount"]))
+    frames = rolling_aggregate(narrow, keys, {"rolling_avg_amount": F.avg("Amount")}, rows=rows, pos_col="_tx_pos", block_rows=block_rows)
+    out = df.join(frames.select("id", "_tx_pos", "rolling_avg_amount"), "id")
     return out.withColumns(
         {
             "tx_velocity": F.least(F.col("_tx_pos") + 1, F.lit(rows)).cast("double"),

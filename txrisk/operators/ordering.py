@@ -92,6 +92,24 @@ def with_positions(
     return out.drop("_rid", "_pid", "_opid", "_first", "_off", *[f"_og_{g}" for g in groups])
 
 
+def attach_positions(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    key: str = "id",
+    group_cols: Sequence[str] = (),
+    pos_col: str = "_pos",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """:func:`with_positions` computed on the narrow key columns only, joined back on the unique ``key``.
+
+    The range shuffle, the persisted copy and the offsets work on a few columns;
+    the wide rows are shuffled once, by the join.
+    """
+    cols = list(dict.fromkeys([key, *group_cols, *order_cols]))
+    pos = with_positions(df.select(*cols), order_cols, group_cols=group_cols, pos_col=pos_col, num_partitions=num_partitions)
+    return df.join(pos.select(key, pos_col), key)
+
+
 def rolling_aggregate(
     df: DataFrame,
     order_cols: Sequence[str | Column],

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.hashing import uniform
-from txrisk.operators.ordering import with_positions
+from txrisk.operators.ordering import attach_positions, with_positions
 
 
 def class_counts_map(df: DataFrame, label: str = "Class") -> dict[int, int]:
@@ -48,7 +48,7 @@ def split_sizes(counts: dict, test_size: float = 0.2) -> dict:
 
 def _rank_in_class(df: DataFrame, label: str, seed: int, id_col: str, pos_col: str) -> DataFrame:
     u = uniform(seed, id_col).alias("_u")
-    return with_positions(df.withColumn("_u", u), ["_u", id_col], group_cols=[label], pos_col=pos_col).drop("_u")
+    return attach_positions(df.withColumn("_u", u), ["_u", id_col], key=id_col, group_cols=[label], pos_col=pos_col).drop("_u")
 
 
 def stratified_split(
@@ -87,7 +87,7 @@ def random_undersample(
     keep = undersample_size(n_min, n_maj, ratio)
     mino = df.filter(F.col(label) == minority)
     maj = df.filter(F.col(label) != minority)
-    ranked = with_positions(maj.withColumn("_u", uniform(seed, id_col)), ["_u", id_col], pos_col="_upos")
+    ranked = attach_positions(maj.withColumn("_u", uniform(seed, id_col)), ["_u", id_col], key=id_col, pos_col="_upos")
     return mino.unionByName(ranked.filter(F.col("_upos") < keep).drop("_u", "_upos"))
 
 
@@ -100,7 +100,7 @@ def cap_majority(
         return df
     mino = df.filter(F.col(label) == 1)
     maj = df.filter(F.col(label) != 1)
-    ranked = with_positions(maj.withColumn("_u", uniform(seed, id_col)), ["_u", id_col], pos_col="_upos")
+    ranked = attach_positions(maj.withColumn("_u", uniform(seed, id_col)), ["_u", id_col], key=id_col, pos_col="_upos")
     return mino.unionByName(ranked.filter(F.col("_upos") < keep_majority).drop("_u", "_upos"))
 
 
