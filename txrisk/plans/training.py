@@ -140,10 +140,10 @@ def main(argv=None):
     from txrisk.sources import ingest, tables
 
     spark = get_spark()
-    if a.input.endswith(".csv") or a.input.endswith("/"):
-        data = ingest.read_transactions_csv(spark, a.input)
+    if artifacts._exists(spark, f"{a.input.rstrip('/')}/events.parquet"):
+        data = tables.transactions(spark, a.input)  # a folder of the driver tables
     else:
-        data = tables.transactions(spark, a.input)
+        data = ingest.read_transactions_csv(spark, a.input)  # CSV file, folder or glob
     print(json.dumps(run_training(spark, data, a.out, TrainingConfig(strategy=a.strategy, tune=a.tune))))
 
 
