@@ -69,22 +69,23 @@ def run_training(spark: SparkSession, data: DataFrame, out_dir: str, cfg: Traini
     train = feats.filter(F.col("split") == "train").drop("split")
     test = feats.filter(F.col("split") == "test").drop("split")
 
-    weight_col = None
     if cfg.strategy == "smote":
         train = sampling.smote(train, FEATURE_COLUMNS, k_neighbors=cfg.smote_k, seed=cfg.seed).drop("is_synthetic", "base_id")
     elif cfg.strategy == "undersample":
         train = sampling.random_undersample(train, ratio=cfg.undersample_ratio, seed=cfg.seed)
-    elif cfg.strategy == "weighted":
-        train = sampling.with_class_weights(train, weight_col="weight")
-        weight_col = "weight"
-    else:
+    elif cfg.strategy != "weighted":
         raise ValueError(f"unknown strategy {cfg.strategy}")
-    train.select("id", "Class", *FEATURE_COLUMNS, *([weight_col] if weight_col else [])).write.mode("overwrite").parquet(f"{out}/train")
+    # linear model and forest are class-weighted under every strategy: explicit weights of the training
+    # set ("weighted") or balanced weights, which are the same formula n / (k * n_c) on the final rows;
+    # boosting stays unweighted
+    weight_col = "weight"
+    train = sampling.with_class_weights(train, weight_col=weight_col)
+    train.select("id", "Class", *FEATURE_COLUMNS, weight_col).write.mode("overwrite").parquet(f"{out}/train")
     train = spark.read.parquet(f"{out}/train").cache()
     if cfg.tune:
         train = sampling.stratified_folds(train, 3, seed=cfg.seed)
 
-    total_w = train.agg(F.sum(weight_col)).first()[0] if weight_col else float(train.count())
+    total_w = train.agg(F.sum(weight_col)).first()[0]
     fitted = {}
     store = f"{out}/models"
     for name in cfg.models:
@@ -98,9 +99,9 @@ def run_training(spark: SparkSession, data: DataFrame, out_dir: str, cfg: Traini
         elif name == "gradient_boosting":
             gtrain = sampling.cap_majority(train, seed=cfg.seed) if cfg.gb_cap else train
             if cfg.tune:
-                m = M.tune(M.gradient_boosting(seed=cfg.seed), M.GB_GRID, 6, M.AveragePrecisionEvaluator(), gtrain, seed=cfg.seed)
+                m = M.tune(M.gradient_boosting(seed=cfg.seed), M.GB_GRID, 6, M.AveragePrecisionEvaluator(), gtrain.drop(weight_col), seed=cfg.seed)
             else:
-                m = M.fit(M.gradient_boosting(seed=cfg.seed, **cfg.gb), gtrain)
+                m = M.fit(M.gradient_boosting(seed=cfg.seed, **cfg.gb), gtrain.drop(weight_col))
         else:
             raise ValueError(name)
         artifacts.save_model(spark, m, name, store)
