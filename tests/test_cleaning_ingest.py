@@ -110,3 +110,17 @@ def test_grouped_sorted_quantiles_equal_aggregate(spark):
     assert a.keys() == b.keys()
     for g in a:
         assert a[g] == pytest.approx(b[g], abs=1e-12)
+
+
+def test_time_does_not_depend_on_session_time_zone(spark):
+    from tests.conftest import SF001
+    from txrisk.sources import tables
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        a = {r[0]: r[1] for r in tables.transactions_li(spark, SF001).select(F.monotonically_increasing_id(), "Time").collect()}
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")  # lineitem dates cross DST changes
+        b = {r[0]: r[1] for r in tables.transactions_li(spark, SF001).select(F.monotonically_increasing_id(), "Time").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert a == b
