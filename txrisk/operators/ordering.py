@@ -39,7 +39,12 @@ _HELD: list[DataFrame] = []
 
 
 def release() -> None:
-    """Unpersist the range-partitioned intermediates of finished jobs."""
+    """Unpersist the range-partitioned intermediates of finished jobs.
+
+    Call it only after every DataFrame built on them has been written or
+    collected: a still-pending plan would otherwise re-plan its two branches
+    separately and lose the shared partitioning the positions rely on.
+    """
     while _HELD:
         _HELD.pop().unpersist()
 
