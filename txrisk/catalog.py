@@ -973,3 +973,15 @@ def q_stream_log(spark, sf_dir):
     q = scorer.start(read_stream(spark, f"{base}/in", schema, max_files=1000).drop("day"), f"{base}/ckpt")
     q.awaitTermination()
     return artifacts.read_log(spark, f"{base}/log").drop("log_date", "timestamp")
+
+
+@register(
+    "minmax_scores",
+    O.with_pred(f"""
+, mm AS (SELECT model, min(p) AS mn, max(p) AS mx FROM pred GROUP BY model)
+SELECT model, id, {r6('(p - mn) / (mx - mn + 1e-9)')} AS p_norm FROM pred JOIN mm USING (model)"""),
+)
+def q_minmax_scores(spark, sf_dir):
+    # decision scores without probabilities are min-max scaled per model (+1e-9 in the divisor)
+    pred = tables.predictions(spark, sf_dir)
+    return rounded(metrics.minmax_normalise(pred, "p", "p_norm", by="model").select("model", "id", "p_norm"))
