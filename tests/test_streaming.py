@@ -116,3 +116,20 @@ def test_latest_log_skips_malformed_lines(spark, tmpdir_fresh):
     latest = artifacts.read_latest_log(spark, f"{tmpdir_fresh}/log")
     assert sorted(r["tx_id"] for r in latest.collect()) == ["TX_000002", "TX_000003"]
     assert artifacts.read_log(spark, f"{tmpdir_fresh}/nothing").count() == 0
+
+
+def test_alert_page_over_latest_log(spark, setup, tmpdir_fresh):
+    from txrisk.plans.scoring import alert_page
+
+    tx, stats, model = setup
+    scorer = StreamScorer(spark, model, stats, f"{tmpdir_fresh}/log", f"{tmpdir_fresh}/state")
+    scorer.process_batch(tx, 0)
+    counts, board = alert_page(spark, f"{tmpdir_fresh}/log")
+    c = counts.first()
+    assert c["total_alerts"] == tx.count() and c["n_safe"] + c["n_suspicious"] + c["n_fraud"] == tx.count()
+    rows = board.collect()
+    assert len(rows) <= 100 and all(r["risk_level"] in ("SUSPICIOUS", "FRAUD") for r in rows)
+    scores = [r["fraud_score"] for r in rows]
+    assert scores == sorted(scores, reverse=True)
+    _, everything = alert_page(spark, f"{tmpdir_fresh}/log", levels=[])
+    assert everything.count() == min(100, tx.count())

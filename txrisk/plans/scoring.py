@@ -58,3 +58,14 @@ def score_records(model, records: DataFrame, stats: FeatureStats, threshold: flo
     scored = score_table(model, valid, stats, threshold, keep=("tx_id",), with_alert=False)
     scored = scored.select("tx_id", "fraud_probability", "fraud_score", "risk_level", "decision")
     return scored.unionByName(bad, allowMissingColumns=True)
+
+
+def alert_page(spark, log_dir: str, levels=("SUSPICIOUS", "FRAUD"), top: int = 100):
+    """The alert board over the prediction log: (header counts, top alerts) of the most recent log day.
+
+    Malformed log lines are skipped; an empty selection of levels keeps every level.
+    """
+    from txrisk.sources.artifacts import read_latest_log
+
+    latest = read_latest_log(spark, log_dir)
+    return alerts.risk_counts(latest), alerts.alert_board(latest, levels, top)
