@@ -111,8 +111,12 @@ def dataset_stats(df: DataFrame, label: str = "Class") -> DataFrame:
 
     ``amount_*`` quantiles are exact (see :func:`quantiles`), std is the sample std.
     """
-    qs = quantiles(df, ["Amount"], [0.25, 0.5, 0.75])["Amount"]
-    q = F.array(*[F.lit(v).cast("double") for v in qs])
+    probs = [0.25, 0.5, 0.75]
+    if small_enough(df):
+        q = F.percentile(F.col("Amount"), F.array(*[F.lit(p) for p in probs]))  # same single pass
+    else:
+        qs = quantiles(df, ["Amount"], probs, method="sort")["Amount"]
+        q = F.array(*[F.lit(v).cast("double") for v in qs])
     agg = df.agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.coalesce(F.sum(F.col(label)), F.lit(0)).cast("bigint").alias("fraud_count"),
@@ -122,9 +126,9 @@ def dataset_stats(df: DataFrame, label: str = "Class") -> DataFrame:
         F.min("Amount").cast("double").alias("amount_min"),
         F.max("Amount").cast("double").alias("amount_max"),
         (F.max("Time") - F.min("Time")).alias("_trange"),
+        q.alias("_q"),
     )
     total, fraud = F.col("total_transactions"), F.col("fraud_count")
-    agg = agg.withColumn("_q", q)
     return agg.select(
         total,
         fraud,
