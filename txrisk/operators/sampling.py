@@ -1,7 +1,7 @@
 """Splitting and rebalancing with exact counts and partition-independent randomness.
 
 Row selection ranks rows by a hashed uniform inside each class with the
-scalable ``with_positions`` (range partitioning on (label, u, id) splits a hot
+scalable ``attach_positions`` (range partitioning on (label, u, id) splits a hot
 class across many tasks) and keeps a computed number of leading positions.
 Only per-class counts (one row per class) reach the driver.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.hashing import uniform
-from txrisk.operators.ordering import attach_positions, with_positions
+from txrisk.operators.ordering import attach_positions
 
 
 def class_counts_map(df: DataFrame, label: str = "Class") -> dict[int, int]:
@@ -183,7 +183,7 @@ def smote(
         raise ValueError("SMOTE needs at least two minority rows")
     mino = df.filter(F.col(label) == minority).select(id_col, vector(feats).alias("_x"))
     nb = knn(mino.select(id_col, *[F.col("_x")[i].alias(c) for i, c in enumerate(feats)]), feats, k, id_col=id_col, method=knn_method)
-    pos = with_positions(mino, [id_col], pos_col="_mpos")
+    pos = attach_positions(mino, [id_col], key=id_col, pos_col="_mpos")  # positions on the ids only
     cnt = F.least(F.lit(n_per), F.greatest(F.lit(n_gen) - F.col("_mpos") * n_per, F.lit(0)))
     slots = pos.withColumn("_cnt", cnt).filter(F.col("_cnt") > 0).select(
         id_col, "_x", "_mpos", F.explode(F.sequence(F.lit(0), F.col("_cnt") - 1)).alias("_s")
