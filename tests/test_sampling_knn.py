@@ -131,3 +131,14 @@ def test_smote_early_exit_and_error(spark):
     out = sampling.smote(two, ["a"], k_neighbors=5)  # k lowered to n_min - 1 = 1
     syn = out.filter("is_synthetic").collect()
     assert len(syn) == 1 and 2.0 <= syn[0]["a"] <= 4.0
+
+
+def test_stratified_split_pair_is_disjoint_and_covering(spark):
+    tx = tables.transactions(spark, SF001)
+    train, test = sampling.stratified_split(tx, test_size=0.25, seed=7)
+    tr = {r["id"] for r in train.select("id").collect()}
+    te = {r["id"] for r in test.select("id").collect()}
+    assert not (tr & te) and len(tr | te) == tx.count()
+    exp = sampling.split_sizes(sampling.class_counts_map(tx), 0.25)
+    got = sampling.class_counts_map(test)
+    assert got == exp
