@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.operators.stats import quantiles
 
 HIGH_RATE_FLAG = 0.005  # hours whose fraud rate exceeds this are highlighted
 
