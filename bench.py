@@ -105,6 +105,8 @@ def main() -> None:
         "queries": times,
         "sf": float(sf.group(1)) if sf else sf_dir,
         "cpus": cpus,
+        "data_query_seconds": round(sum(v for k, v in times.items() if not k.startswith("train_")), 3),
+        "model_fit_seconds": round(sum(v for k, v in times.items() if k.startswith("train_")), 3),
     }
     out.update(rows)
     print(json.dumps(out))
