@@ -19,8 +19,8 @@ collection is first cut, without loss, into short aligned documents:
 
 The columns are scanned one after another like the files of the external method, but in memory, because the
 collections are small: a task takes ``batch_segments`` of them at a time, and an anchor with more than
-``group_segments`` different segments is split.  A split anchor's windows that are still unmatched are matched
-across its parts by their fingerprints, so nothing is lost.
+``group_segments`` different segments is split.  The different windows of a split anchor's parts are
+matched across the parts by their fingerprints, so nothing is lost.
 
 Defined cases: null and short texts have nothing to remove; rows are told apart by (doc_id, text), and rows
 equal in both are occurrences of each other; null ids are allowed; an empty table gives no rows; other columns
@@ -195,18 +195,23 @@ def repeated_windows(parts: list[bytes], lefts: np.ndarray, counts: np.ndarray,
 
 
 def _compare(length: int, batch_segments: int):
-    """Rows (h, g, ranges of repeated windows, and for split anchors the fingerprints of the others)."""
+    """Rows (h, g, ranges of repeated windows, and for split anchors the fingerprints of their different windows)."""
 
     def finish(rows: list[dict]) -> pa.RecordBatch:
         mask = repeated_windows([r["body"] for r in rows], np.array([r["left_n"] for r in rows]), np.array([r["n"] for r in rows]), length)
-        ranges, fps, places = [], [], []
+        ranges, fps, places, sent = [], [], [], set()
         for r, m in zip(rows, mask, strict=True):
             own = m[: len(r["body"]) - length + 1]
             s, e = runs(own)
             ranges.append(np.stack([s, e], 1).ravel())
-            alone = np.flatnonzero(~own) if r["splits"] > 1 else np.zeros(0, np.int64)
-            fps.append([xxhash.xxh3_64_intdigest(r["body"][i : i + length], seed=r["left_n"] - int(i) + (1 << 20)) - (1 << 63) for i in alone])
-            places.append(alone)
+            fps.append([])
+            places.append([])
+            for i in range(len(own)) if r["splits"] > 1 else ():
+                fp = xxhash.xxh3_64_intdigest(r["body"][i : i + length], seed=r["left_n"] - i + (1 << 20)) - (1 << 63)
+                if not own[i] or (r["h"], fp) not in sent:  # of windows matched here one stands for all
+                    fps[-1].append(fp)
+                    places[-1].append(i)
+                    sent.add((r["h"], fp))
         cols = [pa.array([r["h"] for r in rows], pa.int64()), pa.array([r["g"] for r in rows], pa.int64())]
         cols += [pa.array(v, pa.list_(pa.int64())) for v in (ranges, fps, places)]
         return pa.RecordBatch.from_arrays(cols, ["h", "g", "ranges", "fps", "places"])
@@ -268,7 +273,7 @@ def remove_repeats(
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ready = ready.repartition(n, "h", "part").sortWithinPartitions("h", "part", "g").select("h", "g", "part", "left_n", "body", "n", "splits")
     compared = staged(ready.mapInArrow(_compare(length, batch_segments), "h long, g long, ranges array<long>, fps array<long>, places array<long>"), "compared")
-    # windows of split anchors that match a window in another part
+    # windows of split anchors that match a window in another part (a part sends a window that repeats within it once)
     open_ = compared.filter(F.size("fps") > 0).select("h", "g", F.explode(F.arrays_zip("fps", "places")).alias("w")).select("h", "g", "w.fps", "w.places")
     met = open_.groupBy("h", "fps").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "fps")
     across = open_.join(met, ["h", "fps"], "left_semi").select("h", "g", F.col("places").alias("a"), (F.col("places") + 1).alias("b"))

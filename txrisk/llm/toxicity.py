@@ -3,7 +3,7 @@
 A text is the bag of its byte n-grams inside words (3 to 6 bytes, a blank marking either end of a word,
 A-Z lower-cased), hashed into buckets.  Every bucket has an embedding; the text's vector is the average
 over its n-grams, and a linear softmax gives the two class probabilities.  Embeddings and softmax are
-trained jointly by Adam on mini-batches in numpy, so an unseen spelling is scored by the n-grams it
+trained jointly on mini-batches in numpy (Adam with a large epsilon, so that rare n-grams take small steps), so an unseen spelling is scored by the n-grams it
 shares with known ones.
 
 A long text dilutes an average, so it is judged by blocks of ``block`` words: the score is that of its
@@ -72,11 +72,11 @@ class Model:
     block: int
 
 
-def train(samples: list[tuple[bytes, int]], share: float, dim: int = 8, steps: int = 300, batch: int = 128, rate: float = 0.02, block: int = BLOCK, seed: int = 3) -> Model:
+def train(samples: list[tuple[bytes, int]], share: float, dim: int = 8, steps: int = 300, batch: int = 128, rate: float = 0.5, block: int = BLOCK, seed: int = 3, eps: float = 1e-3) -> Model:
     """Joint Adam training of bucket embeddings and softmax; ``share`` is the true share of class 1."""
     r = np.random.default_rng(seed)
     n_buckets = 1 << BUCKET_BITS
-    emb = r.normal(0, 0.1, (n_buckets, dim)).astype(np.float32)
+    emb = np.zeros((n_buckets, dim), np.float32)  # an n-gram that training never meets adds nothing
     soft = r.normal(0, 0.3, (dim, 2)).astype(np.float32)
     off = np.zeros(2, np.float32)
     bags = [subwords(t) for t, _ in samples]
@@ -121,7 +121,7 @@ def train(samples: list[tuple[bytes, int]], share: float, dim: int = 8, steps: i
             for (m, v), q, grad, rows_ in ((state[0], emb, g, used), (state[1], soft, vec.T @ p, slice(None)), (state[2], off, p.sum(0), slice(None))):
                 m[rows_] = 0.9 * m[rows_] + 0.1 * grad
                 v[rows_] = 0.999 * v[rows_] + 0.001 * grad * grad
-                q[rows_] -= rate * fix * m[rows_] / (np.sqrt(v[rows_]) + 1e-8)
+                q[rows_] -= rate * fix * m[rows_] / (np.sqrt(v[rows_]) + eps)
     own = float(y.mean())
     shift = np.log(share / (1 - share)) - np.log(own / (1 - own))
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(off[1] - off[0] + shift), block)
