@@ -7,11 +7,12 @@ candidates, the matching low bits give the collision-corrected similarity (m - 2
 candidates far below the threshold are set aside; the rest are confirmed on the full shingle sets.
 
 Large buckets never emit all their pairs.  A bucket of at most ``small`` classes is compared pairwise.
-In a larger one every class is compared with a hub (the smallest id); classes linked to the hub are done
-with each other.  The classes that are not yet in the hub's component go on to the next round, where
-they get a hub of their own; before that, a class too similar to the hub to be ruled out is compared with
-those classes linked to the hub that the triangle inequality of the Jaccard distance does not exclude.
-Rounds go on until no bucket is left, so no link between components is lost.
+In a larger one every class is compared with a few hubs (the smallest ids of hash slots).  The hubs and
+the classes linked to them are then done with the bucket, the others go on to the next round, with twice
+as many hubs, until no large bucket is left.  What is done has been compared with the hub only, so in the
+end a class that was not linked to a hub, and is not in its component by then, is compared with those
+linked to that hub that the triangle inequality of the Jaccard distance does not exclude.  So no link
+between components is lost.
 
 With the default 32 bands of 4 rows a pair at similarity 0.8 escapes all buckets with probability
 (1 - 0.8^4)^32, about 5e-8; the set-aside margin of 0.25 on 128 minima is 7 standard deviations.
@@ -25,6 +26,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -184,7 +186,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, bits: int = 4, margin: float = 0.25, small: int = 24, seed: int = 11
+    docs: DataFrame, shingle: int = SHINGLE, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, bits: int = 4, margin: float = 0.25, small: int = 24, hubs: int = 4, seed: int = 11
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; links need den * |intersection| >= num * |union|."""
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -211,45 +213,51 @@ def near_duplicates(
 
     far, slack = 1 - num / den, 1e-9
     link = F.col("inter") * den >= F.col("uni") * num
-    links: DataFrame | None = None
+    rounds: list[DataFrame] = []  # confirmed pairs, and of those the hubs'
+    around: list[DataFrame] = []
     comp: DataFrame | None = None
 
-    def component(col: str):
-        """The component of an id: an id without links is its own."""
-        return comp.select(F.col("id").alias(col), F.col("comp").alias(f"c_{col}"))
-
     while not live.isEmpty():
         few, many = live.filter(F.col("members") <= small), live.filter(F.col("members") > small)
         x, y = few.alias("x"), few.alias("y")
         same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
         fits = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num  # sizes alone rule the others out
         pairs = x.join(y, same & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(num / den - margin).alias("least"))
-        hub = many.groupBy("band", "key").agg(F.min("id").alias("h"))
+        slots = hubs << len(rounds)
+        hub = many.groupBy("band", "key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min("id").alias("h")).select("band", "key", "h")
         star = many.join(hub, ["band", "key"]).filter("id <> h")
         # of a hub pair the similarity is also needed below the threshold, as far as the triangle inequality reaches
-        pairs = pairs.union(star.select(F.col("h").alias("a"), F.col("id").alias("b"), F.lit(1 - 2 * far - margin).alias("least")))
+        ends = (F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"))
+        pairs = pairs.union(star.select(*ends, F.lit(1 - 2 * far - margin).alias("least")))
         checked = confirmed(pairs.groupBy("a", "b").agg(F.min("least").alias("least")))
-        new = checked.filter(link).select("a", "b")
-        links = new if links is None else comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(new)
-        comp = staged(components(links), "components")
+        rounds.append(checked.filter(link).select("a", "b"))
         if many.isEmpty():
             break
-        # ring: not linked to the hub, but near enough for a link to something that is
-        d = checked.select(F.col("a").alias("h"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("uni")).alias("d"))
-        near = star.join(d, ["h", "id"])
-        ring = near.filter((F.col("d") > far) & (F.col("d") <= 2 * far + slack)).join(component("id"), "id", "left").join(component("h"), "h", "left")
-        ring = ring.filter(~F.coalesce("c_id", "id").eqNullSafe(F.coalesce("c_h", "h"))).select("band", "key", F.col("id").alias("x"), F.col("d").alias("dx"))
-        ring = staged(ring, "ring")
-        if not ring.isEmpty():
-            inner = near.filter(F.col("d") <= far + slack).select("band", "key", F.col("id").alias("y"), F.col("d").alias("dy"))
-            open_ = ring.join(inner, ["band", "key"]).filter(F.col("dx") - F.col("dy") <= far + slack)
-            open_ = open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(num / den - margin).alias("least")).distinct()
-            more = confirmed(open_).filter(link).select("a", "b")
-            comp = staged(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)), "components")
-        # what goes on: the classes of large buckets outside their hub's component
-        rest = star.join(component("id"), "id", "left").join(component("h"), "h", "left")
-        rest = rest.filter(~F.coalesce("c_id", "id").eqNullSafe(F.coalesce("c_h", "h"))).select("band", "key", "id", "n")
-        live = staged(_counted(rest), "buckets")
+        # what goes on: the classes of large buckets that are neither a hub nor linked to one
+        d = checked.select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("d"))
+        h = hub.select("h").distinct()
+        d = d.join(h, d["a"] == h["h"]).select("h", F.col("b").alias("id"), "d").union(d.join(h, d["b"] == h["h"]).select("h", F.col("a").alias("id"), "d"))
+        around.append(staged(d.filter(F.col("d") <= 2 * far + slack), "around"))
+        near = around[-1].filter(F.col("d") <= far + slack).select("h", "id")
+        done = hub.join(near, "h").select("band", "key", "id").union(hub.select("band", "key", "h")).distinct()
+        live = staged(_counted(many.join(done, ["band", "key", "id"], "left_anti").select("band", "key", "id", "n")), "buckets")
+
+    if rounds:
+        comp = staged(components(reduce(DataFrame.union, rounds)), "components")
+
+        def component(col: str) -> DataFrame:
+            return comp.select(F.col("id").alias(col), F.col("comp").alias(f"c_{col}"))
+
+        if around:
+            # not linked to a hub, but near enough for a link to something that is, and not in its component by now
+            every = reduce(DataFrame.union, around).dropDuplicates(["h", "id"]).join(component("id"), "id", "left").join(component("h"), "h", "left")
+            ring = every.filter((F.col("d") > far) & ~F.coalesce("c_id", "id").eqNullSafe(F.coalesce("c_h", "h"))).select("h", F.col("id").alias("x"), F.col("d").alias("dx"))
+            inner = every.filter(F.col("d") <= far + slack).select("h", F.col("id").alias("y"), F.col("d").alias("dy"))
+            open_ = ring.join(inner, "h").filter(F.col("dx") - F.col("dy") <= far + slack)
+            open_ = staged(open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(num / den - margin).alias("least")).distinct(), "ring")
+            if not open_.isEmpty():
+                more = confirmed(open_).filter(link).select("a", "b")
+                comp = staged(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)), "components")
 
     out = sig.select("doc_id", "n_shingles", "set_key").join(cls.select("set_key", "id"), "set_key", "left")
     out = out.join(comp, "id", "left") if comp is not None else out.withColumn("comp", F.lit(None).cast(id_type))
@@ -259,7 +267,8 @@ def near_duplicates(
 
 #: The same rows in SQL: all pairs of documents that share a shingle.
 ORACLE = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS k
     FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
