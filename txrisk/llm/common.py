@@ -25,11 +25,25 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/txrisk-llm/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+def staged(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    The shuffle files of the written plan are of no more use, so Spark is asked to remove them with it.
+    ``batch_rows`` bounds the rows of an Arrow batch, for plans with large rows.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows:
+        conf["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 

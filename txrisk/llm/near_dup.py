@@ -7,12 +7,11 @@ candidates, the matching low bits give the collision-corrected similarity (m - 2
 candidates far below the threshold are set aside; the rest are confirmed on the full shingle sets.
 
 Large buckets never emit all their pairs.  A bucket of at most ``small`` classes is compared pairwise.
-In a larger one every class is compared with a few hubs (the smallest ids of hash slots).  The hubs and
-the classes linked to them are then done with the bucket, the others go on to the next round, with twice
-as many hubs, until no large bucket is left.  What is done has been compared with the hub only, so in the
-end a class that was not linked to a hub, and is not in its component by then, is compared with those
-linked to that hub that the triangle inequality of the Jaccard distance does not exclude.  So no link
-between components is lost.
+In a larger one every class is compared with a few hubs (the smallest ids of hash slots), which joins most
+of it.  Classes that are still outside the bucket's largest component are then compared with the whole
+bucket, short list against short list on an index of shingles; a task sends only as many links as it takes
+to join the two lists as all their links would.  Classes already in one component need no comparison, so
+no link between components is lost.
 
 With the default 32 bands of 4 rows a pair at similarity 0.8 escapes all buckets with probability
 (1 - 0.8^4)^32, about 5e-8; the set-aside margin of 0.25 on 128 minima is 7 standard deviations.
@@ -26,10 +25,10 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,15 +135,15 @@ def _sets(shingle: int):
     return run
 
 
-def _likely(n: int, bits: int):
-    """Keeps the pairs whose estimate reaches the limit of their row."""
+def _likely(n: int, bits: int, least: float):
+    """Keeps the pairs whose estimate is not far below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-            keep = pa.array(estimate(x, y, n, bits) >= b.column("least").to_numpy(zero_copy_only=False))
+            keep = pa.array(estimate(x, y, n, bits) >= least)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     return run
@@ -185,8 +184,55 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(size, ["band", "key"]).select("band", "key", "members", "id", "n")
 
 
+def _chunks(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """The classes (band, key, id) of each bucket with their sets, in lists of about ``size``."""
+    n = rows.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("chunks"))
+    dealt = rows.join(n, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).join(sets, "id")
+    return dealt.groupBy("band", "key", "chunk").agg(F.collect_list(F.struct("id", "items")).alias("own")).select("band", "key", "own")
+
+
+def _links(num: int, den: int):
+    """Links that join the classes of two lists as all their links do, found on an index of the second list's shingles."""
+
+    def parts(rows: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        items = pc.struct_field(rows, "items")
+        return pc.struct_field(rows, "id").to_pylist(), pc.list_value_length(items).to_numpy(zero_copy_only=False), pc.list_flatten(items).to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind = b.schema.field("xs").type.value_type.field("id").type
+            for r in range(b.num_rows):
+                ids, nx, items = parts(b.column("xs")[r].values)
+                other, ny, values = parts(b.column("ys")[r].values)
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], np.repeat(np.arange(len(ny)), ny)[order]
+                root: dict = {}
+
+                def find(v):
+                    while root.setdefault(v, v) != v:
+                        v = root[v]
+                    return v
+
+                out: list[tuple] = []
+                ends = np.cumsum(nx)
+                for k in range(len(nx)):
+                    own = items[ends[k] - nx[k] : ends[k]]
+                    low, many = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+                    many -= low
+                    place = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+                    inter = np.bincount(owner[place], minlength=len(ny))
+                    for y in np.flatnonzero(inter * den >= (nx[k] + ny - inter) * num):
+                        u, v = find(ids[k]), find(other[y])
+                        if u != v:
+                            root[u] = v
+                            out.append((ids[k], other[y]))
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], kind), pa.array([v for _, v in out], kind)], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, bits: int = 4, margin: float = 0.25, small: int = 24, hubs: int = 4, seed: int = 11
+    docs: DataFrame, shingle: int = SHINGLE, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, bits: int = 4, margin: float = 0.25, small: int = 24, hubs: int = 2, chunk: int = 64, seed: int = 11
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; links need den * |intersection| >= num * |union|."""
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -203,60 +249,37 @@ def near_duplicates(
     signs = cls.select("id", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """(a, b, inter, uni) for the pairs (a, b, least) that the signatures do not rule out."""
+        """(a, b, inter, uni) for the pairs (a, b) that the signatures do not rule out."""
         a, b = (signs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b", "least").mapInArrow(_likely(bands * rows, bits), f"a {id_type}, b {id_type}")
+        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(bands * rows, bits, num / den - margin), f"a {id_type}, b {id_type}")
         sa, sb = (sets.select(F.col("id").alias(c), F.col("items").alias(f"i{c}")) for c in "ab")
         both = staged(likely, "pairs").join(sa, "a").join(sb, "b")
         x = both.select("a", "b", F.size(F.array_intersect("ia", "ib")).cast("long").alias("inter"), (F.size("ia") + F.size("ib")).cast("long").alias("total"))
         return staged(x.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("uni")), "checked")
 
-    far, slack = 1 - num / den, 1e-9
     link = F.col("inter") * den >= F.col("uni") * num
-    rounds: list[DataFrame] = []  # confirmed pairs, and of those the hubs'
-    around: list[DataFrame] = []
     comp: DataFrame | None = None
 
-    while not live.isEmpty():
+    if not live.isEmpty():
         few, many = live.filter(F.col("members") <= small), live.filter(F.col("members") > small)
         x, y = few.alias("x"), few.alias("y")
         same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
         fits = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num  # sizes alone rule the others out
-        pairs = x.join(y, same & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(num / den - margin).alias("least"))
-        slots = hubs << len(rounds)
-        hub = many.groupBy("band", "key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min("id").alias("h")).select("band", "key", "h")
-        star = many.join(hub, ["band", "key"]).filter("id <> h")
-        # of a hub pair the similarity is also needed below the threshold, as far as the triangle inequality reaches
-        ends = (F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"))
-        pairs = pairs.union(star.select(*ends, F.lit(1 - 2 * far - margin).alias("least")))
-        checked = confirmed(pairs.groupBy("a", "b").agg(F.min("least").alias("least")))
-        rounds.append(checked.filter(link).select("a", "b"))
-        if many.isEmpty():
-            break
-        # what goes on: the classes of large buckets that are neither a hub nor linked to one
-        d = checked.select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("d"))
-        h = hub.select("h").distinct()
-        d = d.join(h, d["a"] == h["h"]).select("h", F.col("b").alias("id"), "d").union(d.join(h, d["b"] == h["h"]).select("h", F.col("a").alias("id"), "d"))
-        around.append(staged(d.filter(F.col("d") <= 2 * far + slack), "around"))
-        near = around[-1].filter(F.col("d") <= far + slack).select("h", "id")
-        done = hub.join(near, "h").select("band", "key", "id").union(hub.select("band", "key", "h")).distinct()
-        live = staged(_counted(many.join(done, ["band", "key", "id"], "left_anti").select("band", "key", "id", "n")), "buckets")
-
-    if rounds:
-        comp = staged(components(reduce(DataFrame.union, rounds)), "components")
-
-        def component(col: str) -> DataFrame:
-            return comp.select(F.col("id").alias(col), F.col("comp").alias(f"c_{col}"))
-
-        if around:
-            # not linked to a hub, but near enough for a link to something that is, and not in its component by now
-            every = reduce(DataFrame.union, around).dropDuplicates(["h", "id"]).join(component("id"), "id", "left").join(component("h"), "h", "left")
-            ring = every.filter((F.col("d") > far) & ~F.coalesce("c_id", "id").eqNullSafe(F.coalesce("c_h", "h"))).select("h", F.col("id").alias("x"), F.col("d").alias("dx"))
-            inner = every.filter(F.col("d") <= far + slack).select("h", F.col("id").alias("y"), F.col("d").alias("dy"))
-            open_ = ring.join(inner, "h").filter(F.col("dx") - F.col("dy") <= far + slack)
-            open_ = staged(open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(num / den - margin).alias("least")).distinct(), "ring")
-            if not open_.isEmpty():
-                more = confirmed(open_).filter(link).select("a", "b")
+        pairs = x.join(y, same & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        hub = many.groupBy("band", "key", F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("slot")).agg(F.min("id").alias("h")).select("band", "key", "h")
+        star = many.join(hub, ["band", "key"]).filter("id <> h").select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"))
+        links = confirmed(pairs.union(star).distinct()).filter(link).select("a", "b")
+        comp = staged(components(links), "components")
+        if not many.isEmpty():
+            # classes outside the largest component of their bucket, list against list with the whole bucket
+            part = staged(many.select("band", "key", "id").join(comp, "id", "left").select("band", "key", "id", F.coalesce("comp", "id").alias("c")), "parts")
+            most = part.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("band", "key").agg(F.max(F.struct("k", "c")).alias("m")).select("band", "key", F.col("m.c").alias("main"))
+            outside = staged(part.join(most, ["band", "key"]).filter("c <> main").select("band", "key", "id"), "outside")
+            if not outside.isEmpty():
+                whole = part.select("band", "key", "id").join(outside.select("band", "key").distinct(), ["band", "key"], "left_semi")
+                xs, ys = _chunks(outside, sets, chunk).withColumnRenamed("own", "xs"), _chunks(whole, sets, chunk).withColumnRenamed("own", "ys")
+                found = xs.join(ys, ["band", "key"]).select("xs", "ys").mapInArrow(_links(num, den), f"a {id_type}, b {id_type}")
+                more = staged(found.distinct(), "links", batch_rows=32)
                 comp = staged(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)), "components")
 
     out = sig.select("doc_id", "n_shingles", "set_key").join(cls.select("set_key", "id"), "set_key", "left")
