@@ -104,3 +104,13 @@ def test_minmax_normalise(spark):
 def test_best_by_recall_first_wins_on_tie(spark):
     df = spark.createDataFrame([("A", 0.5, 0), ("B", 0.9, 1), ("C", 0.9, 2)], "model_name string, recall double, position int")
     assert metrics.best_by_recall(df).first()["model_name"] == "B"
+
+
+def test_auc_of_huge_counts_does_not_overflow(spark):
+    from pyspark.sql import functions as F
+
+    from txrisk.operators.metrics import _auc_expr
+
+    rows = [(170_000_000, 0, 170_000_000, 0), (0, 100_000_000_000, 170_000_000, 100_000_000_000)]
+    df = spark.createDataFrame([(*r, 170_000_000, 100_000_000_000) for r in rows], "npos long, nneg long, tp long, fp long, tot_pos long, tot_neg long")
+    assert df.agg(_auc_expr().alias("a")).first().a == 1.0

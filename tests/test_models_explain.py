@@ -107,3 +107,11 @@ def test_random_search_with_stratified_folds(spark, trained):
     gb = M.tune(M.gradient_boosting(max_iter=3, max_depth=2), {"maxIter": [2, 3], "stepSize": [0.1, 0.2]}, 2, M.AveragePrecisionEvaluator(), train)
     for m in (rf, gb):
         assert M.predict(m, feats.limit(5)).count() == 5
+
+
+def test_search_draws_are_distinct(spark):
+    from txrisk.plans import models as M
+
+    for est, grid, n in ((M.random_forest(None), M.RF_GRID, 10), (M.gradient_boosting(), M.GB_GRID, 6)):
+        maps = [tuple(sorted((p.name, v) for p, v in m.items())) for m in M.draw_param_maps(est, grid, n)]
+        assert len(set(maps)) == n

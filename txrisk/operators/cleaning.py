@@ -36,6 +36,10 @@ def median_impute(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     from txrisk.operators.stats import quantiles
 
     cols = [c for c in (cols or NUMERIC_COLUMNS) if c in df.columns]
+    if not cols:
+        return df
+    missing = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in cols]).first()
+    cols = [c for c in cols if missing[c]]  # only columns with nulls need their median
     if not cols:
         return df
     med = quantiles(df, cols, [0.5])

@@ -70,7 +70,7 @@ def cumulative_by_score(pred: DataFrame) -> DataFrame:
 
 def _auc_expr() -> Column:
     below = F.col("tot_neg") - F.col("fp")
-    return F.try_divide(F.sum(F.col("npos") * (below + F.col("nneg") / 2.0)), F.max("tot_pos") * F.max("tot_neg"))
+    return F.try_divide(F.sum(F.col("npos") * (below + F.col("nneg") / 2.0)), F.max("tot_pos").cast("double") * F.max("tot_neg"))
 
 
 def _ap_expr() -> Column:

@@ -7,6 +7,7 @@ from the published grids and cross-validates on stratified folds.
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Sequence
 
@@ -163,20 +164,12 @@ UNLIMITED_DEPTH = 30  # MLlib's deepest tree stands for "no limit"
 
 
 def draw_param_maps(estimator, grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
-    """``n_iter`` random parameter maps from the grid (parameters without an MLlib counterpart are drawn and ignored)."""
-    rng = random.Random(seed)
-    maps = []
-    for _ in range(n_iter):
-        pm = {}
-        for name, values in grid.items():
-            v = rng.choice(values)
-            if not estimator.hasParam(name):
-                continue
-            if name == "maxDepth" and v is None:
-                v = UNLIMITED_DEPTH
-            pm[estimator.getParam(name)] = v
-        maps.append(pm)
-    return maps
+    """At most ``n_iter`` different random points of the grid (parameters without an MLlib counterpart are left out of it)."""
+    names = [k for k in grid if estimator.hasParam(k)]
+    values = [list(dict.fromkeys(UNLIMITED_DEPTH if k == "maxDepth" and v is None else v for v in grid[k])) for k in names]
+    points = list(itertools.product(*values))
+    drawn = random.Random(seed).sample(points, min(n_iter, len(points)))
+    return [{estimator.getParam(k): v for k, v in zip(names, p, strict=True)} for p in drawn]
 
 
 def tune(estimator, grid: dict, n_iter: int, evaluator: Evaluator, train: DataFrame, fold_col: str = "fold", parallelism: int = 4, seed: int = 42,

@@ -39,14 +39,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there).  Only when it is unset -- local runs and tests -- a fresh
-    scratch folder is created and registered.
+    folder there).  Only when it is unset in a local session a fresh scratch
+    folder is created and registered; on a cluster that is an error, because
+    executors do not see each other's disks.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="txrisk-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
