@@ -57,7 +57,6 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from txrisk.catalog import QUERIES
-    from txrisk.operators.ordering import release
     from txrisk.session import checkpoint_dir
 
     checkpoint_dir(spark)
@@ -70,7 +69,6 @@ def main() -> None:
         df = QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t, 3)
-        release()
 
     if with_models:
         from pyspark.sql import functions as F
@@ -95,7 +93,6 @@ def main() -> None:
         t = time.time()
         M.fit(M.random_forest("weight"), weighted)  # published forest parameters: 200 trees, depth 20, leaf 2, sqrt
         times["train_random_forest"] = round(time.time() - t, 3)
-        release()
 
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     out = {

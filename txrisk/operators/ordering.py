@@ -9,7 +9,7 @@ operators keep the global order semantics while every stage stays parallel:
 2. ``monotonically_increasing_id`` after ``sortWithinPartitions`` gives
    (partition id, row index inside the partition) without another shuffle;
 3. rows per (partition, group) -> exclusive running count over partitions: a
-   table of at most ``partitions + groups`` rows, broadcast back;
+   table of one row per (partition, group), joined back;
 4. position = partition offset + row index.
 
 Running sums and rolling frames cut the positions into blocks of ``block_rows``
@@ -24,30 +24,17 @@ so that positions are deterministic and survive task re-execution.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.session import shuffle_partitions
+from txrisk.session import checkpoint_dir, shuffle_partitions
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 DEFAULT_BLOCK_ROWS = 1 << 20  # upper bound of a window block (rows sorted in one task)
 
-_HELD: list[DataFrame] = []
-
-
-def release() -> None:
-    """Unpersist the range-partitioned intermediates of finished jobs.
-
-    Call it only after every DataFrame built on them has been written or
-    collected: a still-pending plan would otherwise re-plan its two branches
-    separately and lose the shared partitioning the positions rely on.
-    """
-    while _HELD:
-        _HELD.pop().unpersist()
-
 
 def _names(cols: Sequence[str | Column]) -> list[str | Column]:
     return list(cols)
@@ -74,12 +61,13 @@ def with_positions(
         .withColumn("_rid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright(F.col("_rid"), _ROW_BITS))
     )
-    # Row ids are only meaningful against one physical partitioning.  Both the
-    # offset branch and the row branch must read the same range partitions, so
-    # the partitioned rows are materialised once; a lost block is recomputed
-    # from the same partitioner and the same total order, i.e. identically.
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    _HELD.append(ranged)
+    # Row ids are only meaningful against one physical partitioning, and two branches read them
+    # (offsets and rows), so the numbered rows are written once to the shared folder: no cache entry
+    # that goes, and no plan made anew, can tell the branches apart.
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/txrisk-positions/{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     runs = ranged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_rid").alias("_first"))
     before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select(
@@ -91,8 +79,8 @@ def with_positions(
     cond = ranged["_pid"] == offsets["_opid"]
     for g in groups:
         cond = cond & ranged[g].eqNullSafe(offsets[f"_og_{g}"])
-    # offsets: one row per (range partition, group) -> bounded by partitions + groups.
-    out = ranged.join(F.broadcast(offsets), cond, "inner")
+    # offsets: one row per (range partition, group); Spark broadcasts it when its size allows
+    out = ranged.join(offsets, cond, "inner")
     out = out.withColumn(pos_col, F.col("_off") + F.col("_rid") - F.col("_first"))
     return out.drop("_rid", "_pid", "_opid", "_first", "_off", *[f"_og_{g}" for g in groups])
 
@@ -107,7 +95,7 @@ def attach_positions(
 ) -> DataFrame:
     """:func:`with_positions` computed on the narrow key columns only, joined back on the unique ``key``.
 
-    The range shuffle, the persisted copy and the offsets work on a few columns;
+    The range shuffle, the written copy and the offsets work on a few columns;
     the wide rows are shuffled once, by the join.
     """
     cols = list(dict.fromkeys([key, *group_cols, *order_cols]))
@@ -138,8 +126,8 @@ def rolling_aggregate(
 def auto_block_rows(pos: DataFrame, minimum: int = 1) -> int:
     """Block size giving about two blocks per core, between the frame length and DEFAULT_BLOCK_ROWS.
 
-    ``pos`` is the output of :func:`with_positions`: counting it reads the persisted
-    range partitions (and fills them for the main job), not the source again.
+    ``pos`` is the output of :func:`with_positions`: counting it reads the written
+    positions, not the source again.
     """
     n = pos.count()
     cores = pos.sparkSession.sparkContext.defaultParallelism

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.operators import cleaning, eda, explain, features, metrics, sampling
-from txrisk.operators.ordering import release
 from txrisk.operators.stats import dataset_stats, dataset_stats_record
 from txrisk.plans import models as M
 from txrisk.schema import FEATURE_COLUMNS
@@ -126,7 +125,6 @@ def run_training(spark: SparkSession, data: DataFrame, out_dir: str, cfg: Traini
     artifacts.write_text(spark, stats.to_json(), f"{out}/feature_stats")
     clean.unpersist()
     train.unpersist()
-    release()
     return {"best_by_recall": best["model_name"], "recall": best["recall"], "seconds": round(time.time() - t0, 1), "models": list(fitted)}
 
 

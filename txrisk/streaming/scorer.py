@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from txrisk.functions import risk as R
 from txrisk.operators.features import row_features
-from txrisk.operators.ordering import release, rolling_over_positions, with_positions
+from txrisk.operators.ordering import rolling_over_positions, with_positions
 from txrisk.operators.stats import FeatureStats
 from txrisk.plans.models import probability_of_fraud
 from txrisk.schema import DEFAULT_THRESHOLD, PREDICTION_LOG_SCHEMA, RISK_LEVELS, ROLLING_ROWS
@@ -146,7 +146,6 @@ class StreamScorer:
         agg.coalesce(1).write.mode("overwrite").parquet(self._state("totals", batch_id))
         log.unpersist()
         batch.unpersist()
-        release()
 
     # -- driver side -----------------------------------------------------------
     def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None, query_name: str | None = None):
