@@ -62,8 +62,18 @@ def _write(path: str, size: int):
 def _scan(separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.flatnonzero(np.frombuffer(t.as_py(), "<u4") == separator) for t in b.column("tokens")]
-            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(found, pa.list_(pa.int64()))], ["file", "block", "at"])
+            if not b.num_rows:
+                continue
+            n, ends, starts = [], [], []
+            for t in b.column("tokens"):
+                at = np.flatnonzero(np.frombuffer(t.as_py(), "<u4") == separator)
+                n.append(len(at))
+                ends.append(at)
+                starts.append(np.concatenate(([-1], at[:-1] + 1)) if len(at) else at)  # -1: in an earlier block
+            cut = np.concatenate(([0], np.cumsum(n)))
+            docs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.arange(k) for k in n]), pa.int64()), *(pa.array(np.concatenate(x), pa.int64()) for x in (starts, ends))], ["k", "start", "end"])
+            cols = [b.column("file"), b.column("block"), pa.array(n, pa.int64()), pa.array([int(e[-1]) if len(e) else None for e in ends], pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), docs)]
+            yield pa.RecordBatch.from_arrays(cols, ["file", "block", "found", "last", "docs"])
 
     return run
 
@@ -74,12 +84,15 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, block: int = BLO
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     flat = staged(src.mapInArrow(_write(tokenizer or default_tokenizer(), block), f"file long, block long, tokens binary, ordinal long, doc_id {ids}"), "flat")
     stored = flat.filter("tokens IS NOT NULL").select("file", "block", "tokens")
-    found = staged(stored.mapInArrow(_scan(SEPARATOR), "file long, block long, at array<long>"), "separators", batch_rows=256)
+    scanned = "file long, block long, found long, last long, docs array<struct<k:long,start:long,end:long>>"
+    found = staged(stored.mapInArrow(_scan(SEPARATOR), scanned), "separators", batch_rows=256)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.size("at") > 0, F.col("block") * block + F.element_at("at", -1))
-    scan = found.select("file", "block", "at", F.coalesce(F.sum(F.size("at")).over(before), F.lit(0)).alias("seen"), F.coalesce(F.max(last).over(before), F.lit(-1)).alias("carried"))
-    each = scan.select("file", "block", "seen", "carried", "at", F.posexplode("at").alias("k", "here"))
-    start = F.when(F.col("k") > 0, F.col("block") * block + F.element_at("at", F.greatest(F.col("k"), F.lit(1)))).otherwise(F.col("carried")) + 1
-    ends = each.select("file", (F.col("seen") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("block") * block + F.col("here")).alias("end"))
+    scan = found.drop("docs").select(
+        F.col("file").alias("s_file"), F.col("block").alias("s_block"), F.coalesce(F.sum("found").over(before), F.lit(0)).alias("seen"),
+        F.coalesce(F.max(F.col("block") * block + F.col("last")).over(before), F.lit(-1)).alias("carried"),
+    )
+    each = found.select("file", "block", F.explode("docs").alias("d")).join(scan, (F.col("file") == F.col("s_file")) & (F.col("block") == F.col("s_block")))
+    start = F.when(F.col("d.start") < 0, F.col("carried") + 1).otherwise(F.col("block") * block + F.col("d.start"))
+    ends = each.select("file", (F.col("seen") + F.col("d.k")).alias("ordinal"), start.alias("start"), (F.col("block") * block + F.col("d.end")).alias("end"))
     named = flat.filter("ordinal IS NOT NULL").select("file", "ordinal", "doc_id")
     return named.join(ends, ["file", "ordinal"]).select("doc_id", "file", "start", (F.col("end") - F.col("start")).alias("n_tokens"))
