@@ -61,6 +61,39 @@ def test_csv_shuffled_and_extra_columns_bind_by_name(spark, tmpdir_fresh):
     assert ingest.read_transactions_csv(spark, f"{tmpdir_fresh}/ok.csv", limit=1).count() == 1
 
 
+def _csv(path, ids, rows):
+    with open(path, "w") as f:
+        f.write(",".join((["id"] if ids else []) + EXPECTED_COLUMNS) + "\n")
+        for i, r in enumerate(rows):
+            f.write(",".join(([ids[i]] if ids else []) + r) + "\n")
+
+
+def test_csv_ids(spark, tmpdir_fresh):
+    from txrisk.operators.sampling import with_split
+
+    rows = [[str(i + 1) if c != "Class" else str(i % 2) for c in EXPECTED_COLUMNS] for i in range(40)]
+    _csv(f"{tmpdir_fresh}/text.csv", [f"TX{i}" for i in range(40)], rows)
+    text = ingest.read_transactions_csv(spark, f"{tmpdir_fresh}/text.csv")
+    assert dict(text.dtypes)["id"] == "string" and with_split(cleaning.clean(text)).count() == 40
+    _csv(f"{tmpdir_fresh}/whole.csv", [str(i) for i in range(40)], rows)
+    assert dict(ingest.read_transactions_csv(spark, f"{tmpdir_fresh}/whole.csv").dtypes)["id"] == "bigint"
+    _csv(f"{tmpdir_fresh}/twice.csv", ["1", "1"], rows[:2])
+    _csv(f"{tmpdir_fresh}/null.csv", ["1", ""], rows[:2])
+    for name in ("twice", "null"):
+        with pytest.raises(ingest.SchemaError):
+            ingest.read_transactions_csv(spark, f"{tmpdir_fresh}/{name}.csv")
+
+
+def test_content_ids_do_not_depend_on_partitions(spark):
+    from txrisk.operators.ordering import with_content_ids
+
+    df = spark.range(60).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("b"))
+    one = sorted(map(str, with_content_ids(df.repartition(1)).collect()))
+    many = sorted(map(str, with_content_ids(df.repartition(6)).collect()))
+    assert one == many and len(set(one)) == 60
+    assert with_content_ids(df.limit(0)).count() == 0
+
+
 def test_constant_amount_and_single_row(spark):
     schema = "id long, Time double, Amount double, Class int, " + ", ".join(f"{c} double" for c in V_COLUMNS)
     rows = [[i, float(i * 10), 5.0, i % 2] + [float(i)] * 28 for i in range(50)]

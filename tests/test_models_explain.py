@@ -61,6 +61,16 @@ def test_score_records_marks_invalid_rows(spark, trained):
     assert ok.filter(F.col("error").isNotNull()).count() == 1  # only the NaN row; NULL counts as 0
 
 
+def test_record_scores_do_not_depend_on_partitions(spark, trained):
+    tx, _, stats, model = trained
+    recs = tx.drop("Class").withColumn("tx_id", F.format_string("R%d", F.col("id"))).drop("id")
+    a = {r["tx_id"]: r["fraud_probability"] for r in score_records(model, recs, stats).collect()}
+    b = {r["tx_id"]: r["fraud_probability"] for r in score_records(model, recs.repartition(7), stats).collect()}
+    assert a == b and len(a) == tx.count()
+    named = score_records(model, recs.drop("tx_id").limit(30), stats)
+    assert named.filter("tx_id IS NULL").count() == 0 and named.select("tx_id").distinct().count() == 30
+
+
 def test_importance_table_and_top(spark, trained):
     _, _, _, model = trained
     imp = explain.importance_table(spark, FEATURE_COLUMNS, M.importance_vector(model))

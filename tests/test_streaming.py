@@ -74,6 +74,12 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, setup, tmpdir_fresh
     scorer.process_batch(spark.read.schema(tx.schema).parquet(*same_input), last)
     assert artifacts.read_log(spark, f"{tmpdir_fresh}/log").count() == tx.count()
 
+    # the day of a batch is the stored one, whatever the day of the replay; a lost state is an error
+    spark.createDataFrame([("2001-01-01",)], "day string").write.mode("overwrite").parquet(scorer._state("day", last))
+    assert scorer._batch_day(last) == "2001-01-01"
+    with pytest.raises(RuntimeError):
+        scorer.process_batch(tx.limit(1), last + 5)
+
 
 def test_threshold_change_applies_to_next_batch(spark, setup, tmpdir_fresh):
     tx, stats, model = setup

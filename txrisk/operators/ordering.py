@@ -85,6 +85,28 @@ def with_positions(
     return out.drop("_rid", "_pid", "_opid", "_first", "_off", *[f"_og_{g}" for g in groups])
 
 
+def with_content_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Add a text id made of the row's content and a number among equal rows.
+
+    Equal rows may be exchanged, so the rows with their ids are the same however the input is partitioned.
+    The rows are written once to the shared folder; equal rows are numbered within the part that wrote them
+    and shifted by the equal rows of earlier parts, so a row that is repeated very often is not one task.
+    """
+    spark = df.sparkSession
+    key = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/txrisk-content/{uuid.uuid4().hex}"
+    rows = df.withColumns({"_key": key, "_part": F.spark_partition_id()})
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    shift = shift.select("_key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    number = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_key"))
+    out = rows.withColumn("_k", number).join(shift, ["_key", "_part"])
+    ident = F.concat_ws("-", "_key", (F.col("_shift") + F.col("_k")).cast("string"))
+    return out.select(ident.alias(id_col), *df.columns)
+
+
 def attach_positions(
     df: DataFrame,
     order_cols: Sequence[str],

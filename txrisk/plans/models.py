@@ -195,4 +195,4 @@ def importance_vector(model: PipelineModel) -> list[float]:
         return [float(x) for x in last.featureImportances.toArray()]
     if hasattr(last, "coefficients"):
         return [abs(float(x)) for x in last.coefficients.toArray()]
-    raise ValueError("Model doesn't support feature importance extraction.")
+    raise ValueError(f"{type(last).__name__} has neither importances nor coefficients")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from txrisk.operators import alerts
 from txrisk.operators.cleaning import fill_missing_columns, null_to_zero
 from txrisk.operators.features import engineer_features
+from txrisk.operators.ordering import with_content_ids
 from txrisk.operators.stats import FeatureStats
 from txrisk.plans.models import probability_of_fraud
 from txrisk.schema import DEFAULT_THRESHOLD, FEATURE_COLUMNS, NUMERIC_COLUMNS
@@ -18,7 +19,7 @@ from txrisk.schema import DEFAULT_THRESHOLD, FEATURE_COLUMNS, NUMERIC_COLUMNS
 def featurize(df: DataFrame, stats: FeatureStats, order_cols: Sequence[str] = ("Time", "id")) -> DataFrame:
     """Engineered columns with training-time scalars; rolling frames over ``df`` in (Time, id) order."""
     if "id" not in df.columns:
-        df = df.withColumn("id", F.monotonically_increasing_id())
+        df = with_content_ids(df)
     out, _ = engineer_features(df, stats)
     return fill_missing_columns(out, FEATURE_COLUMNS)
 
@@ -45,10 +46,15 @@ def score_records(model, records: DataFrame, stats: FeatureStats, threshold: flo
 
     Valid rows get ``tx_id, fraud_probability, fraud_score, risk_level, decision``;
     rows with a NULL/NaN/inf input get ``tx_id, error``.  ``missing_as_zero``
-    treats NULL inputs as 0 instead (lenient record path).
+    treats NULL inputs as 0 instead (lenient record path).  Records are told
+    apart by their content, so scores do not depend on partitions; a record
+    without a ``tx_id`` gets one from its content.
     """
     raw = [c for c in NUMERIC_COLUMNS if c in records.columns]
-    recs = records.withColumn("id", F.monotonically_increasing_id())
+    recs = with_content_ids(records.drop("id"))
+    if "tx_id" not in recs.columns:
+        recs = recs.withColumn("tx_id", F.lit(None).cast("string"))
+    recs = recs.withColumn("tx_id", F.coalesce(F.col("tx_id").cast("string"), F.concat(F.lit("TX_"), F.substring("id", 1, 12), F.regexp_extract("id", "-.*$", 0))))
     if missing_as_zero:
         recs = null_to_zero(fill_missing_columns(recs, NUMERIC_COLUMNS), NUMERIC_COLUMNS)
         raw = list(NUMERIC_COLUMNS)

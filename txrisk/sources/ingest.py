@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txrisk.operators.ordering import with_content_ids
 from txrisk.schema import EXPECTED_COLUMNS, LABEL
 
 
@@ -16,7 +17,7 @@ def validate_columns(columns, expected=EXPECTED_COLUMNS) -> None:
     """Missing expected columns are an error that lists them; extra columns are allowed."""
     missing = [c for c in expected if c not in columns]
     if missing:
-        raise SchemaError(f"Schema validation failed. Missing columns: {missing}")
+        raise SchemaError(f"the header lacks {missing}")
 
 
 def read_transactions_csv(spark: SparkSession, path: str, limit: int | None = None, id_col: str | None = "id") -> DataFrame:
@@ -27,7 +28,9 @@ def read_transactions_csv(spark: SparkSession, path: str, limit: int | None = No
     columns are dropped, order is canonicalised; values that do not parse
     become NULL (cleaned later), a non-integer label becomes NULL and is
     dropped by the label filter.  ``limit`` reads only the first n rows.
-    An ``id`` is added when the file has none (stable for the same files).
+    Ids of the file are BIGINT if all are whole numbers, else text; null or
+    repeated ids are an error.  Without ids, text ids are made from the content
+    of the rows, so they depend neither on splits nor on the cluster.
     """
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
     validate_columns(raw.columns)
@@ -37,14 +40,28 @@ def read_transactions_csv(spark: SparkSession, path: str, limit: int | None = No
             cols.append(F.expr(f"try_cast(`{c}` AS INT)").alias(c))
         else:
             cols.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
-    if id_col and id_col in raw.columns:
-        cols.insert(0, F.expr(f"try_cast(`{id_col}` AS BIGINT)").alias(id_col))
+    has_ids = bool(id_col) and id_col in raw.columns
+    if has_ids:
+        cols.insert(0, F.col(id_col))
     df = raw.select(*cols)
     if limit is not None:
         df = df.limit(limit)
-    if id_col and id_col not in raw.columns:
-        df = df.withColumn(id_col, F.monotonically_increasing_id()).select(id_col, *EXPECTED_COLUMNS)
-    return df
+    if has_ids:
+        whole = _check_ids(raw, id_col)
+        return df.withColumn(id_col, F.col(id_col).cast("bigint")) if whole else df
+    return with_content_ids(df, id_col) if id_col else df
+
+
+def _check_ids(raw: DataFrame, id_col: str) -> bool:
+    """Null and repeated ids are errors; True if every id is a whole number written without sign or leading zeros."""
+    whole = F.col(id_col).rlike("^(0|[1-9][0-9]{0,17})$")
+    per_id = raw.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).withColumn("whole", whole)
+    r = per_id.agg(
+        F.count_if(F.col(id_col).isNull()).alias("nulls"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(~F.col("whole")).alias("texts")
+    ).first()
+    if r["nulls"] or r["repeated"]:
+        raise SchemaError(f"column {id_col}: {'null ids; ' if r['nulls'] else ''}{r['repeated']} repeated values")
+    return r["texts"] == 0
 
 
 def union_all(frames) -> DataFrame:

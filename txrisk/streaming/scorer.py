@@ -12,7 +12,9 @@ Each micro-batch (``foreachBatch``):
   from the frozen training statistics;
 * scores with the model and writes the log rows (without the alert struct)
   to ``log_dir/log_date=<day>/batch_id=<n>`` -- overwriting that folder, so a
-  replayed batch after a failure rewrites instead of duplicating;
+  replayed batch after a failure rewrites instead of duplicating; the day is
+  stored with the batch id, so this holds for a replay after midnight too;
+* fails if the state of the batch before is missing;
 * stores its tail (99 rows + row total) and the running totals under
   ``state_dir/.../batch_id=<n>``, keyed by batch id for the same reason.
 
@@ -84,12 +86,25 @@ class StreamScorer:
         path = self._state(kind, batch_id)
         return self.spark.read.schema(schema).parquet(path) if _exists(self.spark, path) else None
 
+    def _batch_day(self, batch_id: int) -> str:
+        """The log day of a batch, stored before its first write, so that a replay on a later day rewrites the same folder."""
+        stored = self._read_state("day", batch_id, "day string")
+        row = stored.first() if stored is not None else None
+        if row is not None:
+            return row["day"]
+        today = self.spark.range(1).select(F.date_format(F.current_date(), "yyyy-MM-dd").alias("day"))
+        day = today.first()[0]
+        self.spark.createDataFrame([(day,)], "day string").coalesce(1).write.mode("overwrite").parquet(self._state("day", batch_id))
+        return day
+
     # -- one micro-batch ------------------------------------------------------
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = self.spark
         threshold = self.current_threshold()
         tail = self._read_state("tail", batch_id - 1, "id long, Time double, Amount double, _pos long")
         totals = self._read_state("totals", batch_id - 1, TOTALS_SCHEMA)
+        if batch_id > 0 and (tail is None or totals is None):
+            raise RuntimeError(f"no stored state of batch {batch_id - 1} under {self.state_dir}; numbering and totals cannot be carried on")
         seen = tail.agg(F.max("_pos")).first()[0] if tail is not None else None
         offset = 0 if seen is None else seen + 1
 
@@ -121,7 +136,7 @@ class StreamScorer:
             "Time",
             "Amount",
         ).persist()
-        day = spark.range(1).select(F.date_format(F.current_date(), "yyyy-MM-dd")).first()[0]
+        day = self._batch_day(batch_id)
         log.select(*[f.name for f in PREDICTION_LOG_SCHEMA.fields]).write.mode("overwrite").json(
             f"{self.log_dir}/log_date={day}/batch_id={batch_id}"
         )
