@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as _dt
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,12 +143,3 @@ def read_latest_log(spark: SparkSession, log_dir: str) -> DataFrame:
     log = read_log(spark, log_dir)
     last = log.agg(F.max("log_date").alias("d")).first()["d"]
     return log.filter(F.col("log_date") == F.lit(last)) if last is not None else log.limit(0)
-
-
-def local_path(path: str) -> str:
-    return path[len("file:") :] if path.startswith("file:") else path
-
-
-def ensure_dir(path: str) -> None:
-    if "://" not in path:
-        os.makedirs(local_path(path), exist_ok=True)
