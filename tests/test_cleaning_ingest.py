@@ -129,20 +129,48 @@ def test_stats_and_class_counts_with_absent_class(spark):
     assert s["amount_p50"] == 2.0 and s["amount_std"] == pytest.approx(math.sqrt(2.0))
 
 
-def test_sorted_quantiles_equal_aggregate(spark):
-    df = spark.range(1001).select(((F.col("id") * 7919) % 1001 / 3.0).alias("Amount"))
-    a = stats.quantiles(df, ["Amount"], [0.25, 0.5, 0.95], method="agg")["Amount"]
-    b = stats.quantiles(df, ["Amount"], [0.25, 0.5, 0.95], method="sort")["Amount"]
-    assert a == pytest.approx(b, abs=1e-12)
-
-
-def test_grouped_sorted_quantiles_equal_aggregate(spark):
-    df = spark.range(3001).select((F.col("id") % 3 == 0).cast("int").alias("g"), ((F.col("id") * 7919) % 1001 / 7.0).alias("v"))
-    a = stats.quantiles_by(df, "g", "v", [0.25, 0.5, 0.75, 0.99], method="agg")
-    b = stats.quantiles_by(df, "g", "v", [0.25, 0.5, 0.75, 0.99], method="sort")
-    assert a.keys() == b.keys()
-    for g in a:
-        assert a[g] == pytest.approx(b[g], abs=1e-12)
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    vals = [((i * 7919) % 1001) / 3.0 for i in range(1001)]
+    df = spark.createDataFrame([(v, None if i % 5 else v, None) for i, v in enumerate(vals)], "Amount double, some double, none double")
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = stats.quantiles(df, ["Amount", "some", "none"], probs)
+    assert got["Amount"] == pytest.approx(np.quantile(vals, probs).tolist(), abs=1e-12)
+    assert got["some"] == pytest.approx(np.quantile(vals[::5], probs).tolist(), abs=1e-12)
+    assert got["none"] == [None] * 5
+    assert stats.quantiles(df.limit(0), ["Amount"], [0.5]) == {"Amount": [None]}
+
+
+def test_quantiles_with_many_ties_and_any_partitioning(spark):
+    import numpy as np
+
+    # 60 % of the rows share one value; the bits do not depend on how the rows are dealt
+    vals = [[7.1 if i % 5 < 3 else ((i * 7919) % 1001) / 7.0 for i in range(g, 20011, 3)] for g in range(3)]
+    df = spark.createDataFrame([(g, v) for g, own in enumerate(vals) for v in own], "g int, v double")
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    got = stats.quantiles_by(df, "g", "v", probs)
+    assert got == stats.quantiles_by(df.repartition(13), "g", "v", probs)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert got == stats.quantiles_by(df, "g", "v", probs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g, own in enumerate(vals):
+        assert got[g] == pytest.approx(np.quantile(own, probs).tolist(), abs=1e-9)
+
+
+def test_histogram_bins_at_their_edges(spark):
+    edges = eda.log_edges(0.5, 9000.0)
+    vals = sorted({v for e in edges for v in (e, math.nextafter(e, 0), math.nextafter(e, 1e9)) if 0.5 <= v <= 9000.0} | {0.5, 9000.0})
+    df = spark.createDataFrame([(v, 0) for v in vals] + [(None, 0)], "Amount double, Class int")
+    want: dict = {}
+    for v in vals:
+        k = sum(e <= v for e in edges) - 1
+        if k >= 0:
+            want[min(k, 48)] = want.get(min(k, 48), 0) + 1
+    assert {r["bin"]: r["count"] for r in eda.amount_histogram(df).collect()} == want
 
 
 def test_time_does_not_depend_on_session_time_zone(spark):

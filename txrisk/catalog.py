@@ -751,10 +751,21 @@ _LONG_SQL = (
 )
 
 
-def _engineered_long(spark, sf_dir) -> DataFrame:
+def _engineered_wide(spark, sf_dir) -> DataFrame:
     feats, _ = features.engineer_features(tables.transactions(spark, sf_dir))
-    wide = feats.select("id", "Class", *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
-    return wide.unpivot(["id", "Class"], FEATURE_COLUMNS, "feature", "value")
+    return feats.select("id", "Class", F.col("Time").alias("_time"), *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
+
+
+def _per_feature(wide: DataFrame, keys: list, aggs: dict) -> DataFrame:
+    """One aggregation over the wide rows for all features, then one row per feature: ``aggs`` maps name -> function of a column."""
+    row = wide.groupBy(*keys).agg(*[f(F.col(c)).alias(f"{n}_{c}") for c in FEATURE_COLUMNS for n, f in aggs.items()])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}_{c}").alias(n) for n in aggs]) for c in FEATURE_COLUMNS])
+    names = [c for c in row.columns if c not in {f"{n}_{f}" for f in FEATURE_COLUMNS for n in aggs}]
+    return row.select(*names, F.explode(cells).alias("_f")).select(*names, "_f.*")
+
+
+def _label_correlation(c):
+    return X.correlation(c, F.col("Class").cast("double"))
 
 
 def _feature_lookup(spark) -> DataFrame:
@@ -775,7 +786,7 @@ FROM long JOIN names USING (feature) GROUP BY feature, display_name"""
     ),
 )
 def q_feature_profile(spark, sf_dir):
-    prof = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    prof = _per_feature(_engineered_wide(spark, sf_dir), [], {"mean": F.avg, "std": F.stddev_samp})
     # 38-row lookup: broadcast
     out = prof.join(F.broadcast(_feature_lookup(spark)), "feature").select(
         "feature", "display_name", R.feature_group(F.col("feature")).alias("feature_group"), "mean", "std"
@@ -804,7 +815,7 @@ FROM norm"""
 )
 def q_importance_ranking(spark, sf_dir):
     # importance = |correlation with the label| of each engineered feature, then the published normalise/rank rule
-    raw = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.abs(X.correlation(F.col("value"), F.col("Class").cast("double"))).alias("raw"))
+    raw = _per_feature(_engineered_wide(spark, sf_dir), [], {"raw": lambda c: F.abs(_label_correlation(c))})
     raw = raw.join(F.broadcast(_feature_lookup(spark).select("feature", "position")), "feature")
     return rounded(X.rank_importance(raw), importance_pct=2)
 
@@ -823,7 +834,7 @@ FROM rk WHERE rank <= 20"""
     ),
 )
 def q_top_features(spark, sf_dir):
-    raw = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.abs(X.correlation(F.col("value"), F.col("Class").cast("double"))).alias("raw"))
+    raw = _per_feature(_engineered_wide(spark, sf_dir), [], {"raw": lambda c: F.abs(_label_correlation(c))})
     raw = raw.join(F.broadcast(_feature_lookup(spark).select("feature", "position")), "feature")
     return X.top_features(X.rank_importance(raw), 20).select("feature", "rank", "display_name", "group")
 
@@ -840,9 +851,8 @@ FROM long JOIN (SELECT id, Time FROM tx) USING (id) GROUP BY ALL"""
 )
 def q_feature_label_correlation(spark, sf_dir):
     # zero-safe correlation aggregate (explanation contributions), per quarter of the day and feature
-    lng = _engineered_long(spark, sf_dir).join(tables.transactions(spark, sf_dir).select("id", "Time"), "id")
-    part = (F.floor(F.pmod(F.col("Time") / 3600.0, F.lit(24.0))).cast("int") / 6).cast("int")
-    out = lng.groupBy(part.alias("day_part"), "feature").agg(X.correlation(F.col("value"), F.col("Class").cast("double")).alias("contribution"))
+    part = (F.floor(F.pmod(F.col("_time") / 3600.0, F.lit(24.0))).cast("int") / 6).cast("int")
+    out = _per_feature(_engineered_wide(spark, sf_dir), [part.alias("day_part")], {"contribution": _label_correlation})
     return rounded(out)
 
 

@@ -69,10 +69,16 @@ def amount_histogram(df: DataFrame, label: str = "Class", n_edges: int = 50) ->
     if mm["mx"] is None or mm["mx"] <= 0:
         return df.sparkSession.createDataFrame([], "Class int, bin int, lo double, hi double, count bigint, density double")
     last = n_edges - 1
-    edges = F.array(*[F.lit(e) for e in log_edges(mm["mn"], mm["mx"], n_edges)])
-    # bin = number of edges <= v, minus one; the right edge closes the last bin
-    idx = F.size(F.filter(edges, lambda e: e <= F.col("Amount"))) - 1
-    binned = df.select(F.col(label).alias("Class"), F.least(idx, F.lit(last - 1)).alias("bin")).filter(F.col("bin") >= 0)
+    values = log_edges(mm["mn"], mm["mx"], n_edges)
+    edges, v = F.array(*[F.lit(e) for e in values]), F.col("Amount")
+    # bin = number of edges <= v, minus one.  The logarithm gives it but for rounding, so the guess is
+    # corrected by one against the edges; the right edge closes the last bin
+    step = math.log10(values[1] / values[0])
+    guess = F.floor(F.log10(v / values[0]) / step) if step > 0 else F.lit(last)
+    near = F.greatest(F.lit(0), F.least(F.lit(last), guess)).cast("int")
+    up, down = F.get(edges, near + 1) <= v, F.get(edges, near) > v
+    idx = F.when(v < values[0], -1).when(up, near + 1).when(down, near - 1).otherwise(near)
+    binned = df.filter(v.isNotNull()).select(F.col(label).alias("Class"), F.least(idx, F.lit(last - 1)).alias("bin")).filter(F.col("bin") >= 0)
     counts = binned.groupBy("Class", "bin").agg(F.count(F.lit(1)).alias("count"))
     per_class = Window.partitionBy("Class")  # <= classes x 49 bins: tiny
     lo = F.element_at(edges, F.col("bin") + 1)
@@ -92,21 +98,23 @@ def amount_boxplot(df: DataFrame, label: str = "Class", cap_quantile: float = 0.
 
     q1/median/q3 are linear-interpolation quantiles of the capped values;
     whiskers are the most extreme capped values within 1.5 IQR of the box;
-    n_fliers counts values outside the whiskers.  Per-class scalars (one row
-    per class) come from :func:`quantiles_by` and are inlined as literal maps.
+    n_fliers counts values outside the whiskers.  Capping keeps the order, so the order statistics of
+    the capped values are the capped order statistics and all quantiles come from one
+    :func:`order_values`; the per-class scalars (one row per class) are inlined as literal maps.
     """
-    from txrisk.operators.stats import quantiles_by
+    from txrisk.operators.stats import between, order_values
 
     keyed = df.select(F.col(label).alias("Class"), "Amount").filter(F.col("Amount").isNotNull())
-    caps = {g: q[0] for g, q in quantiles_by(keyed, "Class", "Amount", [cap_quantile]).items()}
-    if not caps:
+    at = order_values(keyed.select(F.col("Class").alias("_g"), F.col("Amount").alias("_v")), [cap_quantile, 0.25, 0.5, 0.75])
+    if not at:
         return df.sparkSession.createDataFrame([], "Class int, n long, q1 double, median double, q3 double, whislo double, whishi double, n_fliers long")
+    caps = {g: between(*ws[0]) for g, ws in at.items()}
+    box = {g: [between(min(a, caps[g]), min(b, caps[g]), f) for a, b, f in ws[1:]] for g, ws in at.items()}
 
     def lookup(values: dict):
         return F.create_map(*[x for g, v in values.items() for x in (F.lit(g), F.lit(float(v)))])[F.col("Class")]
 
     capped = keyed.select("Class", F.least(F.col("Amount"), lookup(caps)).alias("v"))
-    box = quantiles_by(capped, "Class", "v", [0.25, 0.5, 0.75])
     q1 = {g: q[0] for g, q in box.items()}
     med = {g: q[1] for g, q in box.items()}
     q3 = {g: q[2] for g, q in box.items()}

@@ -3,107 +3,89 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.operators.ordering import with_positions
+from txrisk.session import checkpoint_dir, shuffle_partitions
 
-# Below this many rows the one-pass ``percentile`` aggregate is used: it keeps a
-# value->count map per group and merges a global group in one task, which is
-# fine for millions of rows.  Above it, quantiles are read off a distributed
-# sort (exact, no single-task merge).
-EXACT_AGG_ROWS = 5_000_000
-EXACT_AGG_BYTES = 512 << 20  # same switch from the optimizer's size estimate (no job needed)
 
+def order_values(vals: DataFrame, probs: Sequence[float]) -> dict:
+    """The order statistics around each quantile of ``_v`` per ``_g``: {group: [(lower, upper, fraction), ...]}.
 
-def small_enough(df: DataFrame) -> bool:
-    """True when a one-pass ``percentile`` is safe.
-
-    A small optimizer size estimate decides without a job; estimates after joins
-    are pessimistic, so a large one is confirmed by counting rows.
+    One plan for every size.  Rows collapse to (group, value, count), so equal values are one row whatever their
+    number; these are ranged over (group, value) and written once to the shared folder.  The counts of
+    the range partitions (partitions x groups rows, groups being few: labels or column names) tell which
+    partitions hold the wanted ranks, and only those are read again.  NULL values are ignored.
     """
-    try:
-        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= EXACT_AGG_BYTES:
-            return True
-    except Exception:
-        pass
-    return df.count() <= EXACT_AGG_ROWS
-
-
-def _sorted_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
-    vals = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
-    n = vals.count()
-    if n == 0:
-        return [None for _ in probs]
-    wanted = {}
-    for p in probs:
-        h = p * (n - 1)
-        lo = int(h // 1)
-        wanted[p] = (h, lo, min(lo + 1, n - 1))
-    idx = sorted({i for _, lo, hi in wanted.values() for i in (lo, hi)})
-    pos = with_positions(vals, ["_v"])
-    picked = {r["_pos"]: r["_v"] for r in pos.filter(F.col("_pos").isin(idx)).select("_pos", "_v").collect()}
-    out = []
-    for p in probs:
-        h, lo, hi = wanted[p]
-        a, b = picked[lo], picked[hi]
-        out.append(a + (h - lo) * (b - a))
-    return out
-
-
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "auto") -> dict[str, list]:
-    """Exact linear-interpolation quantiles (pandas/numpy 'linear', SQL quantile_cont).
-
-    NULLs are ignored; a column without values yields None.
+    spark = vals.sparkSession
+    hist = vals.filter(F.col("_v").isNotNull()).groupBy("_g", F.col("_v").cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/txrisk-quantiles/{uuid.uuid4().hex}"
+    ranged = hist.repartitionByRange(shuffle_partitions(spark), "_g", "_v").withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    parts: dict = {}
+    for r in ranged.groupBy("_g", "_part").agg(F.sum("_n").alias("n")).collect():
+        parts.setdefault(r["_g"], []).append((r["_part"], r["n"]))
+    if not parts:
+        return {}
+    wanted: dict = {}  # group -> [(lower rank, upper rank, fraction)]
+    places: dict = {}  # (group, rank) -> (partition, rank inside it)
+    for g, counts in parts.items():
+        counts.sort()
+        total = sum(n for _, n in counts)
+        for p in probs:
+            h = p * (total - 1)
+            lo = int(h // 1)
+            wanted.setdefault(g, []).append((lo, min(lo + 1, total - 1), h - lo))
+        for rank in {i for lo, hi, _ in wanted[g] for i in (lo, hi)}:
+            rest = rank
+            for part, n in counts:
+                if rest < n:
+                    places[(g, rank)] = (part, rest)
+                    break
+                rest -= n
+    upto = F.sum("_n").over(Window.partitionBy("_g", "_part").orderBy("_v"))
+    near = ranged.filter(F.col("_part").isin(sorted({p for p, _ in places.values()}))).withColumn("_upto", upto)
+    hit = F.lit(False)
+    for (g, _), (part, rest) in places.items():
+        here = F.col("_g").eqNullSafe(F.lit(g)) & (F.col("_part") == part)
+        hit = hit | (here & (F.col("_upto") > rest) & (F.col("_upto") - F.col("_n") <= rest))
+    found: dict = {}
+    for r in near.filter(hit).collect():
+        found.setdefault((r["_g"], r["_part"]), []).append((r["_upto"] - r["_n"], r["_upto"], r["_v"]))
+
+    def value(g, rank: int) -> float:
+        part, rest = places[(g, rank)]
+        return next(v for first, end, v in found[(g, part)] if first <= rest < end)
+
+    return {g: [(value(g, lo), value(g, hi), f) for lo, hi, f in ws] for g, ws in wanted.items()}
+
+
+def between(lower: float, upper: float, fraction: float) -> float:
+    """Linear interpolation between two order statistics."""
+    return lower + fraction * (upper - lower)
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list]:
+    """Exact linear-interpolation quantiles (pandas/numpy 'linear', SQL quantile_cont) of several columns.
+
+    NULLs are ignored; a column without values yields None.  All columns go through one plan.
     """
-    if method == "auto":
-        method = "agg" if small_enough(df) else "sort"
-    if method == "agg":
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c), arr).alias(c) for c in cols]).first()
-        return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
-    return {c: _sorted_quantiles(df, c, probs) for c in cols}
+    if not cols:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(c).alias("_g"), F.col(c).cast("double").alias("_v")) for c in cols])
+    at = order_values(df.select(F.explode(pairs).alias("_p")).select("_p.*"), probs)
+    return {c: [between(*w) for w in at[c]] if c in at else [None for _ in probs] for c in cols}
 
 
-def quantiles_by(df: DataFrame, group_col: str, value_col: str, probs: Sequence[float], method: str = "auto") -> dict:
-    """Exact linear quantiles of ``value_col`` per value of a low-cardinality ``group_col``: {group: [q...]}.
-
-    Small inputs use one grouped ``percentile``; large ones read the values off a
-    sort ranged over (group, value), so a group holding most rows is still
-    spread over many tasks.
-    """
-    vals = df.select(F.col(group_col).alias("_g"), F.col(value_col).alias("_v")).filter(F.col("_v").isNotNull())
-    if method == "auto":
-        method = "agg" if small_enough(vals) else "sort"
-    if method == "agg":
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        return {r["_g"]: list(r["q"]) for r in vals.groupBy("_g").agg(F.percentile("_v", arr).alias("q")).collect()}
-    counts = {r["_g"]: r["n"] for r in vals.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {}
-    for g, n in counts.items():
-        for p in probs:
-            h = p * (n - 1)
-            lo = int(h // 1)
-            wanted[(g, p)] = (h, lo, min(lo + 1, n - 1))
-    pairs = {(g, i) for (g, _), (_, lo, hi) in wanted.items() for i in (lo, hi)}
-    pos = with_positions(vals, ["_v"], group_cols=["_g"])
-    cond = None
-    for g, i in pairs:
-        c = F.col("_g").eqNullSafe(F.lit(g)) & (F.col("_pos") == i)
-        cond = c if cond is None else cond | c
-    picked = {(r["_g"], r["_pos"]): r["_v"] for r in pos.filter(cond).select("_g", "_pos", "_v").collect()}
-    out = {}
-    for g in counts:
-        qs = []
-        for p in probs:
-            h, lo, hi = wanted[(g, p)]
-            a, b = picked[(g, lo)], picked[(g, hi)]
-            qs.append(a + (h - lo) * (b - a))
-        out[g] = qs
-    return out
+def quantiles_by(df: DataFrame, group_col: str, value_col: str, probs: Sequence[float]) -> dict:
+    """Exact linear quantiles of ``value_col`` per value of a low-cardinality ``group_col``: {group: [q...]}."""
+    at = order_values(df.select(F.col(group_col).alias("_g"), F.col(value_col).alias("_v")), probs)
+    return {g: [between(*w) for w in ws] for g, ws in at.items()}
 
 
 def dataset_stats(df: DataFrame, label: str = "Class") -> DataFrame:
@@ -112,11 +94,7 @@ def dataset_stats(df: DataFrame, label: str = "Class") -> DataFrame:
     ``amount_*`` quantiles are exact (see :func:`quantiles`), std is the sample std.
     """
     probs = [0.25, 0.5, 0.75]
-    if small_enough(df):
-        q = F.percentile(F.col("Amount"), F.array(*[F.lit(p) for p in probs]))  # same single pass
-    else:
-        qs = quantiles(df, ["Amount"], probs, method="sort")["Amount"]
-        q = F.array(*[F.lit(v).cast("double") for v in qs])
+    q = F.array(*[F.lit(v).cast("double") for v in quantiles(df, ["Amount"], probs)["Amount"]])
     agg = df.agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.coalesce(F.sum(F.col(label)), F.lit(0)).cast("bigint").alias("fraud_count"),
@@ -193,23 +171,11 @@ class FeatureStats:
         return cls(**json.loads(s))
 
 
-def fit_feature_stats(df: DataFrame, method: str = "auto") -> FeatureStats:
-    """Fit Amount quartiles/95th percentile and the mean/sample std of Time in hours.
-
-    Small inputs: one aggregation for everything; large ones: sorted quantiles plus one aggregation.
-    """
-    probs = [0.25, 0.5, 0.75, 0.95]
+def fit_feature_stats(df: DataFrame) -> FeatureStats:
+    """Fit Amount quartiles/95th percentile and the mean/sample std of Time in hours."""
     hours = F.col("Time") / 3600.0
-    moments = [F.avg(hours).alias("m"), F.stddev_samp(hours).alias("s"), F.count(F.lit(1)).alias("n")]
-    if method == "auto":
-        method = "agg" if small_enough(df) else "sort"
-    if method == "agg":
-        arr = F.array(*[F.lit(p) for p in probs])
-        row = df.agg(F.percentile(F.col("Amount"), arr).alias("q"), *moments).first()
-        q = list(row["q"]) if row["q"] is not None else [None] * len(probs)
-    else:
-        q = quantiles(df, ["Amount"], probs, method="sort")["Amount"]
-        row = df.agg(*moments).first()
+    q = quantiles(df, ["Amount"], [0.25, 0.5, 0.75, 0.95])["Amount"]
+    row = df.agg(F.avg(hours).alias("m"), F.stddev_samp(hours).alias("s"), F.count(F.lit(1)).alias("n")).first()
     iqr = (q[2] - q[0]) if q[0] is not None else None
     return FeatureStats(
         amount_median=q[1],
