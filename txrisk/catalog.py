@@ -751,21 +751,10 @@ _LONG_SQL = (
 )
 
 
-def _engineered_wide(spark, sf_dir) -> DataFrame:
+def _engineered_long(spark, sf_dir) -> DataFrame:
     feats, _ = features.engineer_features(tables.transactions(spark, sf_dir))
-    return feats.select("id", "Class", F.col("Time").alias("_time"), *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
-
-
-def _per_feature(wide: DataFrame, keys: list, aggs: dict) -> DataFrame:
-    """One aggregation over the wide rows for all features, then one row per feature: ``aggs`` maps name -> function of a column."""
-    row = wide.groupBy(*keys).agg(*[f(F.col(c)).alias(f"{n}_{c}") for c in FEATURE_COLUMNS for n, f in aggs.items()])
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}_{c}").alias(n) for n in aggs]) for c in FEATURE_COLUMNS])
-    names = [c for c in row.columns if c not in {f"{n}_{f}" for f in FEATURE_COLUMNS for n in aggs}]
-    return row.select(*names, F.explode(cells).alias("_f")).select(*names, "_f.*")
-
-
-def _label_correlation(c):
-    return X.correlation(c, F.col("Class").cast("double"))
+    wide = feats.select("Class", F.col("Time").alias("_time"), *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
+    return wide.unpivot(["Class", "_time"], FEATURE_COLUMNS, "feature", "value")
 
 
 def _feature_lookup(spark) -> DataFrame:
@@ -786,7 +775,7 @@ FROM long JOIN names USING (feature) GROUP BY feature, display_name"""
     ),
 )
 def q_feature_profile(spark, sf_dir):
-    prof = _per_feature(_engineered_wide(spark, sf_dir), [], {"mean": F.avg, "std": F.stddev_samp})
+    prof = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     # 38-row lookup: broadcast
     out = prof.join(F.broadcast(_feature_lookup(spark)), "feature").select(
         "feature", "display_name", R.feature_group(F.col("feature")).alias("feature_group"), "mean", "std"
@@ -815,7 +804,7 @@ FROM norm"""
 )
 def q_importance_ranking(spark, sf_dir):
     # importance = |correlation with the label| of each engineered feature, then the published normalise/rank rule
-    raw = _per_feature(_engineered_wide(spark, sf_dir), [], {"raw": lambda c: F.abs(_label_correlation(c))})
+    raw = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.abs(X.correlation(F.col("value"), F.col("Class").cast("double"))).alias("raw"))
     raw = raw.join(F.broadcast(_feature_lookup(spark).select("feature", "position")), "feature")
     return rounded(X.rank_importance(raw), importance_pct=2)
 
@@ -834,7 +823,7 @@ FROM rk WHERE rank <= 20"""
     ),
 )
 def q_top_features(spark, sf_dir):
-    raw = _per_feature(_engineered_wide(spark, sf_dir), [], {"raw": lambda c: F.abs(_label_correlation(c))})
+    raw = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.abs(X.correlation(F.col("value"), F.col("Class").cast("double"))).alias("raw"))
     raw = raw.join(F.broadcast(_feature_lookup(spark).select("feature", "position")), "feature")
     return X.top_features(X.rank_importance(raw), 20).select("feature", "rank", "display_name", "group")
 
@@ -852,7 +841,7 @@ FROM long JOIN (SELECT id, Time FROM tx) USING (id) GROUP BY ALL"""
 def q_feature_label_correlation(spark, sf_dir):
     # zero-safe correlation aggregate (explanation contributions), per quarter of the day and feature
     part = (F.floor(F.pmod(F.col("_time") / 3600.0, F.lit(24.0))).cast("int") / 6).cast("int")
-    out = _per_feature(_engineered_wide(spark, sf_dir), [part.alias("day_part")], {"contribution": _label_correlation})
+    out = _engineered_long(spark, sf_dir).groupBy(part.alias("day_part"), "feature").agg(X.correlation(F.col("value"), F.col("Class").cast("double")).alias("contribution"))
     return rounded(out)
 
 
@@ -907,7 +896,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def trained_models(spark: SparkSession, sf_dir: str):
-    """Split, fit statistics on train, features, and three small models (cached per session and folder)."""
+    """Fitted statistics, three small models, the features of all rows and those of the test rows (cached per session and folder)."""
     key = (id(spark.sparkContext), sf_dir)
     if key not in _TRAINED:
         tx = tables.transactions(spark, sf_dir)
@@ -926,43 +915,43 @@ def trained_models(spark: SparkSession, sf_dir: str):
             "Random Forest": M.fit(M.random_forest("weight", num_trees=30, max_depth=8), train_w),
             "Gradient Boosting": M.fit(M.gradient_boosting(max_iter=20, max_depth=4), train),
         }
-        _TRAINED[key] = (stats_, models, test)
+        _TRAINED[key] = (stats_, models, feats.drop("split"), test)
     return _TRAINED[key]
 
 
 @register("model_scores")
 def q_model_scores(spark, sf_dir):
-    stats_, models, test = trained_models(spark, sf_dir)
-    scored = score_table(models["Gradient Boosting"], test.select("id", "Time", "Amount", *V_COLUMNS), stats_, keep=("id", "Time"))
+    stats_, models, rows, _ = trained_models(spark, sf_dir)
+    scored = score_table(models["Gradient Boosting"], rows.select("id", "Time", "Amount", *V_COLUMNS), stats_, keep=("id", "Time"))
     return A.assign_tx_ids(scored, ["Time", "id"])
 
 
 @register("model_evaluation")
 def q_model_evaluation(spark, sf_dir):
-    _, models, test = trained_models(spark, sf_dir)
+    _, models, _, test = trained_models(spark, sf_dir)
     return metrics.metrics_record(metrics.evaluate(M.predictions_long(models, test), 0.5))
 
 
 @register("model_feature_importance")
 def q_model_importance(spark, sf_dir):
-    _, models, _ = trained_models(spark, sf_dir)
+    _, models, _, _ = trained_models(spark, sf_dir)
     return X.importance_table(spark, FEATURE_COLUMNS, M.importance_vector(models["Gradient Boosting"]))
 
 
 @register("local_explanations")
 def q_local_explanations(spark, sf_dir):
-    # every flagged (SUSPICIOUS or FRAUD) test row, 500 perturbations each
-    _, models, test = trained_models(spark, sf_dir)
+    # every flagged (SUSPICIOUS or FRAUD) row, 500 perturbations each
+    _, models, rows, _ = trained_models(spark, sf_dir)
     gb = models["Gradient Boosting"]
-    scored = A.score(M.probability_of_fraud(gb.transform(test)), threshold=0.5)
+    scored = A.score(M.probability_of_fraud(gb.transform(rows)), threshold=0.5)
     flagged = scored.filter(F.col("risk_level").isin("SUSPICIOUS", "FRAUD")).select("id", *FEATURE_COLUMNS)
     return X.explain_local(gb, flagged, id_col="id", n_perturbations=500)
 
 
 @register("record_scoring")
 def q_record_scoring(spark, sf_dir):
-    stats_, models, test = trained_models(spark, sf_dir)
-    recs = test.select(F.format_string("REC_%d", F.col("id")).alias("tx_id"), "Time", "Amount", *V_COLUMNS)
+    stats_, models, rows, _ = trained_models(spark, sf_dir)
+    recs = rows.select(F.format_string("REC_%d", F.col("id")).alias("tx_id"), "Time", "Amount", *V_COLUMNS)
     return score_records(models["Gradient Boosting"], recs, stats_)
 
 
@@ -972,7 +961,7 @@ def q_stream_log(spark, sf_dir):
     from txrisk.sources import artifacts
     from txrisk.streaming.scorer import StreamScorer, read_stream
 
-    stats_, models, _ = trained_models(spark, sf_dir)
+    stats_, models, _, _ = trained_models(spark, sf_dir)
     tx = tables.transactions(spark, sf_dir)
     base = _scratch(spark, "stream")
     tx.withColumn("day", F.floor(F.col("Time") / 86400).cast("int")).write.partitionBy("day").parquet(f"{base}/in")
