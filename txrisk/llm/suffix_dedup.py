@@ -261,6 +261,7 @@ def remove_repeats(
     cuts = staged(src.select("k1", "k2", "text").mapInArrow(_anchors(length, anchor), lists), "anchors")
     # anchors found more than once, and their segments
     twice = cuts.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    twice = staged(twice, "twice")  # as a table of its own, so that the join can split the rows of a very common anchor
     every = cuts.select("k1", "k2", F.explode(F.arrays_zip("h", "start", "n", "left_n")).alias("s")).select("k1", "k2", "s.*")
     some = every.join(twice, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "start", "n", "left_n")).alias("own"))
     with_text = src.select("k1", "k2", "text").join(some, ["k1", "k2"]).select("k1", "k2", "text", "own")
