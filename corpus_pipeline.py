@@ -21,10 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each near-duplicate group (five-word shingles, similarity 0.8) with the smallest id."""
-    kept = near_dup.near_duplicates(docs, shingle=5).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    named = docs.select(*COLUMNS).dropDuplicates(["doc_id"])
-    return named.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest (doc_id, md5 of the text).
+
+    A doc_id that stands for texts that are no near copies keeps all of them.  Documents without an id or without
+    words are in no group and stay, every row of them.  Of rows equal in doc_id and text the smallest one stays.
+    """
+    own = docs.select(*COLUMNS).withColumn("text_key", near_dup.text_key())
+    grouped = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t\n\r\x0B\f]")
+    shown = near_dup.decisions(docs, shingle=5).filter("shows").select("doc_id", "text_key").distinct()
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one = own.filter(grouped).join(shown, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.min(F.struct(*rest)).alias("row"))
+    return one.select("doc_id", "row.*").select(*COLUMNS).union(own.filter(~grouped).select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

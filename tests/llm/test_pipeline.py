@@ -58,3 +58,17 @@ def test_nulls_empty_tables_and_clashing_columns(spark):
         for _, stage in P.STAGES:
             out = stage(spark, out, SF)
         assert (out.count() > 0) == (rows is docs)
+
+
+def test_texts_that_share_an_id_or_have_none_stay(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    copy = lambda k: texts[k] + " end"
+    rows = [(1, texts["a"]), (1, texts["b"]), (2, copy("a")), (3, copy("b")), (4, texts["c"]), (0, copy("c")), (4, texts["d"]), (5, texts["e"]), (5, copy("e")), (5, texts["e"]),
+            (None, texts["f"]), (None, "g h"), (6, ""), (6, None), (6, " \n"), (6, "\u00a0")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    one = {(i, t) for i, t in rows if i != 5} - {(2, copy("a")), (3, copy("b")), (4, texts["c"])}
+    got = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, SF).collect()]
+    assert {r for r in got if r[0] != 5} == one and len(got) == len(one) + 1
+    assert [r for r in got if r[0] == 5][0][1] in (texts["e"], copy("e"))
+    comp = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in P.near_dup.near_duplicates(docs).collect()}
+    assert {(2, 58, 1, False), (3, 58, 1, False), (4, 57, 0, False), (4, 57, 4, True)} <= comp

@@ -1,7 +1,8 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Texts become sets of word shingles.  Documents with equal sets are one class, shown by the smallest
-doc_id.  The minima of ``bands * rows`` hash functions give the band keys of a class; only the lowest
+Texts become sets of word shingles.  Documents with equal sets are one class, named by the hash of the set
+(a doc_id may stand for several texts) and shown by its first row, the smallest (doc_id, md5 of the text).
+A component's id is the smallest doc_id of its classes.  The minima of ``bands * rows`` hash functions give the band keys of a class; only the lowest
 ``bits`` bits of each minimum are kept, packed into bytes.  Classes that meet in a band bucket become
 candidates, the matching low bits give the collision-corrected similarity (m - 2^-b) / (1 - 2^-b), and
 candidates far below the threshold are set aside; the rest are confirmed on the full shingle sets.
@@ -17,8 +18,8 @@ With the default 32 bands of 4 rows a pair at similarity 0.8 escapes all buckets
 (1 - 0.8^4)^32, about 5e-8; the set-aside margin of 0.25 on 128 minima is 7 standard deviations.
 
 Defined cases: without words or text the set is empty, the document is its own component and kept;
-fewer words than a shingle make one shingle of the whole sequence; equal doc_ids are one class member
-each (every input row is returned); a null doc_id is returned as its own row without links and kept;
+fewer words than a shingle make one shingle of the whole sequence; every input row is returned, and rows
+with equal doc_ids are linked by their own texts only; a null doc_id is returned as its own row without links and kept;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.llm.common import multiply_mod_hash, staged, texts
@@ -109,28 +110,22 @@ def _signatures(shingle: int, bands: int, rows: int, bits: int, seed: int):
                 sig.append(pack_bits(m, bits))
                 parts = m.astype("<u4").reshape(bands, rows)
                 band.append([xxhash.xxh3_64_intdigest(parts[i].tobytes(), seed=i) - (1 << 63) for i in range(bands)])
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_key", "sig", "bands"])
+            cols = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "set_key", "sig", "bands"])
 
     return run
 
 
 def _sets(shingle: int):
-    """The shingle sets of the rows whose set is the class's own (doc_ids may repeat with other texts)."""
+    """The shingle sets of the rows that show a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            at, sets = [], []
-            for r, (t, key) in enumerate(zip(texts(batch), batch.column("set_key").to_pylist(), strict=True)):
-                h = shingle_hashes(t, shingle, known)
-                if xxhash.xxh3_128_digest(h.tobytes()) == key:
-                    at.append(r)
-                    sets.append(h.view(np.int64))
+            sets = [shingle_hashes(t, shingle, known).view(np.int64) for t in texts(batch)]
             if len(known) > 500_000:
                 known.clear()
-            ids = batch.column("doc_id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
 
     return run
 
@@ -231,27 +226,36 @@ def _links(num: int, den: int):
     return run
 
 
-def near_duplicates(
+def text_key(text: str = "text") -> Column:
+    """The md5 of a text, which tells the texts of one doc_id apart."""
+    return F.unhex(F.md5(F.col(text).cast("string")))
+
+
+def decisions(
     docs: DataFrame, shingle: int = SHINGLE, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, bits: int = 4, margin: float = 0.25, small: int = 24, hubs: int = 2, chunk: int = 64, seed: int = 11
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; links need den * |intersection| >= num * |union|."""
-    src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """doc_id, text_key, n_shingles, component_id, kept, shows for every row.
+
+    ``kept`` says that the row has its component's id; ``shows`` that it is also the component's first text, so
+    rows that show one component are equal in doc_id and text.  Links need den * |intersection| >= num * |union|.
+    """
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
     id_type = dict(src.dtypes)["doc_id"]
-    sig = staged(src.mapInArrow(_signatures(shingle, bands, rows, bits, seed), f"doc_id {id_type}, n_shingles long, set_key binary, sig binary, bands array<long>"), "signatures")
+    sig = staged(src.mapInArrow(_signatures(shingle, bands, rows, bits, seed), f"doc_id {id_type}, text_key binary, n_shingles long, set_key binary, sig binary, bands array<long>"), "signatures")
     # classes of equal sets: the signature of any member is the signature of all
     full = sig.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    cls = full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    cls = full.groupBy(F.col("set_key").alias("id")).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     cls = staged(cls, "classes")
     live = staged(_counted(cls.select("id", "n", F.posexplode("bands").alias("band", "key"))), "buckets")
-    reps = cls.select("id", "set_key").join(live.select("id").distinct(), "id", "left_semi")
-    own = src.join(reps, src["doc_id"] == reps["id"]).select("doc_id", "text", "set_key").mapInArrow(_sets(shingle), f"id {id_type}, items array<long>")
+    reps = cls.select("id", "first.doc_id", "first.text_key").join(live.select("id").distinct(), "id", "left_semi")
+    own = src.join(reps, ["doc_id", "text_key"]).select("id", "text").mapInArrow(_sets(shingle), "id binary, items array<long>")
     sets = staged(own.groupBy("id").agg(F.first("items").alias("items")), "sets")
     signs = cls.select("id", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """(a, b, inter, uni) for the pairs (a, b) that the signatures do not rule out."""
         a, b = (signs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(bands * rows, bits, num / den - margin), f"a {id_type}, b {id_type}")
+        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(bands * rows, bits, num / den - margin), "a binary, b binary")
         sa, sb = (sets.select(F.col("id").alias(c), F.col("items").alias(f"i{c}")) for c in "ab")
         both = staged(likely, "pairs").join(sa, "a").join(sb, "b")
         x = both.select("a", "b", F.size(F.array_intersect("ia", "ib")).cast("long").alias("inter"), (F.size("ia") + F.size("ib")).cast("long").alias("total"))
@@ -278,14 +282,25 @@ def near_duplicates(
             if not outside.isEmpty():
                 whole = part.select("band", "key", "id").join(outside.select("band", "key").distinct(), ["band", "key"], "left_semi")
                 xs, ys = _chunks(outside, sets, chunk).withColumnRenamed("own", "xs"), _chunks(whole, sets, chunk).withColumnRenamed("own", "ys")
-                found = xs.join(ys, ["band", "key"]).select("xs", "ys").mapInArrow(_links(num, den), f"a {id_type}, b {id_type}")
+                found = xs.join(ys, ["band", "key"]).select("xs", "ys").mapInArrow(_links(num, den), "a binary, b binary")
                 more = staged(found.distinct(), "links", batch_rows=32)
                 comp = staged(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)), "components")
 
-    out = sig.select("doc_id", "n_shingles", "set_key").join(cls.select("set_key", "id"), "set_key", "left")
-    out = out.join(comp, "id", "left") if comp is not None else out.withColumn("comp", F.lit(None).cast(id_type))
-    first = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id"))
-    return out.select("doc_id", "n_shingles", first.alias("component_id"), F.col("doc_id").eqNullSafe(first).alias("kept"))
+    named = cls.select("id", F.col("first").alias("low"))
+    if comp is not None:  # a component is shown by the first of its classes' first rows
+        ends = comp.join(named, "id")
+        lows = ends.join(ends.groupBy("comp").agg(F.min("low").alias("comp_low")), "comp").select("id", "comp_low")
+        named = named.join(lows, "id", "left").select("id", F.coalesce("comp_low", "low").alias("low"))
+    out = sig.select("doc_id", "text_key", "n_shingles", "set_key").join(named.withColumnRenamed("id", "set_key"), "set_key", "left")
+    first = F.when(F.col("doc_id").isNotNull(), F.coalesce("low.doc_id", "doc_id"))
+    kept = F.col("doc_id").eqNullSafe(first)
+    shows = kept & (F.col("doc_id").isNull() | F.col("set_key").isNull() | (F.col("text_key") == F.col("low.text_key")))
+    return out.select("doc_id", "text_key", "n_shingles", first.alias("component_id"), kept.alias("kept"), shows.alias("shows"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; ``options`` are those of ``decisions``."""
+    return decisions(docs, shingle, **options).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: The same rows in SQL: all pairs of documents that share a shingle.
