@@ -230,6 +230,22 @@ def test_html_blocks():
     assert html_extract.blocks_of("<!-- never closed <p>x") == [] and html_extract.blocks_of("a < b")[0][1] == "a < b"
 
 
+def test_html_skips_end_with_their_element():
+    def found(page):
+        return [t for _, t, _ in html_extract.blocks_of(page)]
+
+    for tag in ("svg-icon", "select-box", "title-bar", "style-guide", "script-list", "template-x", "iframe-x", "textarea-x", "noscript-x"):
+        assert found(f'<{tag} name="x"></{tag}><article><p>one two</p></article>') == ["one two"]
+    for svg in ('<svg width="1"/>', "<svg/>", '<svg title="a > b" />', "<svg><title>t</title><path/></svg>", "<SVG\n>x</svg\n>"):
+        assert found(f"<p>one {svg} two</p><p>three</p>") == ["one two", "three"]
+    for tag in ("script", "style", "template", "iframe", "select", "textarea"):
+        assert found(f'<{tag} id="x">no</{tag}-x>no</{tag} x><p>yes</p>') == ["yes"]
+    assert found("<title>no</title><p>yes</p>") == ["yes"]
+    assert [(t, p) for p, t, _ in html_extract.blocks_of("<article><p>a<noscript>b</noscript>c<noscript> <img src=x> </noscript>d</p></article>")] == [
+        ("a", ("article", "p")), ("b", ("article", "p", "noscript")), ("c d", ("article", "p"))]
+    assert found("<noscript><p>b</p></noscript><p>c</p>") == ["b", "c"]
+
+
 def test_html_labeller_gradient_and_held_out_accuracy(spark):
     model = html_extract.train(pages=600)
     r, ok, n = np.random.default_rng(123), 0, 0

@@ -10,7 +10,8 @@ page skeletons (articles in several kinds of container, with menus, headers, foo
 adverts, forms and reader comments around and inside them).  Nothing of the pages table is used for training.
 
 Defined cases: a null or empty html has no blocks and an empty text; unclosed tags, comments and scripts run to
-the end of the page; repeated and null page_ids give one row per input row; an empty table gives no rows; other
+the end of the page; a self-closed svg and a noscript without text are empty, the text of another noscript is
+blocks of its own; repeated and null page_ids give one row per input row; an empty table gives no rows; other
 columns are ignored.  No block is shortened and no page cut.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 2048, 12, 6, 6, 16
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe|title|select|textarea)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|<[!?/][^>]*>?|<|[^<]+", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>|noscript(?=[\s/>])[^>]*>(?:\s|<(?!/?noscript)[^>]*>)*</noscript\s*>|(script|style|template|svg|iframe|title|select|textarea)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|$))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|<[!?/][^>]*>?|<|[^<]+", re.S | re.I)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -67,7 +68,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 text.append(part)
                 if any(t == "a" for t, _ in stack):
                     linked += len(part.strip())
-            elif m.group(1):
+            elif raw[1].isalpha():  # a skipped element
                 text.append(" ")
             continue
         tag = tag.lower()
@@ -86,7 +87,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if tag not in INLINE:
             flush()
-            closes = CLOSES.get(tag, set()) | ({"p"} if tag not in ("td", "th", "tr") else set())
+            closes = CLOSES.get(tag, set()) | ({"p"} if tag not in ("td", "th", "tr", "noscript") and "-" not in tag else set())
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in closes:
                     pop_to(k)
