@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txrisk.llm import decontaminate, html_extract, language_model, near_dup, packing, quality, suffix_dedup, token_scan, toxicity, url_filter
+from txrisk.llm import decontaminate, hard_negatives, html_extract, language_model, line_dedup, near_dup, packing, quality, suffix_dedup, token_alignment, token_scan, toxicity, url_filter
 from txrisk.llm.common import table
 
 
@@ -51,6 +52,19 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_frequency": op2_line_frequency,
@@ -62,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash": op10_minhash,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -69,4 +86,6 @@ ORACLE: dict[str, str] = {
     "op2_line_frequency": quality.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
     "op10_minhash": near_dup.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
