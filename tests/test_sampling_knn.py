@@ -58,7 +58,7 @@ def test_class_weights(spark):
 
 
 def _brute_knn(X, ids, k):
-    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    D = np.stack([knn.distances(x, X) for x in X])
     out = {}
     for qi in range(len(ids)):
         order = [o for o in np.lexsort((ids, D[qi])) if o != qi][:k]
@@ -66,23 +66,37 @@ def _brute_knn(X, ids, k):
     return out
 
 
-@pytest.mark.parametrize("method", ["broadcast", "pivot"])
-def test_knn_exact_against_brute_force(spark, method, monkeypatch):
+@pytest.mark.parametrize(("tile", "spread"), [(4096, 0.0), (8, 0.0), (8, 3.0)])
+def test_knn_exact_against_brute_force(spark, tile, spread, monkeypatch):
+    monkeypatch.setattr(knn, "TILE", tile)
+    monkeypatch.setattr(knn, "GROUP", 2)
     rng = np.random.default_rng(5)
-    base = rng.normal(size=(60, 4))
-    X = np.vstack([base, base[:10], base[:10] + 1e-3, base[:3], base[:3]])  # copies and near copies
+    base = rng.normal(size=(60, 4)) * np.exp(spread * rng.normal(size=(60, 1)))  # lengths over many octaves: far tiles are left out
+    X = np.vstack([base, base[:10], base[:10] + 1e-3, base[:3], base[:3], np.round(base), np.zeros((1, 4))])  # copies, near copies, ties
     ids = np.arange(len(X)) * 3 + 1
     df = spark.createDataFrame([(int(i), *map(float, x)) for i, x in zip(ids, X)], "id long, a double, b double, c double, d double")
-    if method == "pivot":
-        real = knn._nbrs_pivot
-        monkeypatch.setattr(knn, "_nbrs_pivot", lambda dv, k, n: real(dv, k, n, target_cell=8))
-    got = knn.knn(df, ["a", "b", "c", "d"], 5, method=method)
+    got = knn.knn(df, ["a", "b", "c", "d"], 5)
     g = {}
     for r in got.orderBy("id", "rank").collect():
         g.setdefault(r["id"], []).append(r["nid"])
     assert g == _brute_knn(X, ids, 5)
 
 
+def test_tiles_are_full_and_far_ones_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(knn, "TILE", 16)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(100, 3)) + 10.0 ** (np.arange(100)[:, None] // 10)  # ten shells of lengths far apart
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vec array<double>")
+    dv = knn.distinct_vectors(df, "id", "vec", 2)
+    sizes = sorted(r.n for r in knn.tiles(dv, 2).collect())
+    assert sizes == [4, 16, 16, 16, 16, 16, 16]
+    near = knn.Nearest(np.arange(2), x[:2], np.full(2, np.inf), 2)
+    near.show(np.arange(100), x)
+    before = [i.tolist() for _, i in near.found]
+    near.show(np.arange(90, 100), x[90:])  # a tile beyond the bounds changes nothing
+    assert [i.tolist() for _, i in near.found] == before
+
+
 def test_knn_needs_two_rows(spark):
     df = spark.createDataFrame([(1, 0.0)], "id long, a double")
     with pytest.raises(ValueError):

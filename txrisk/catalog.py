@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from txrisk import oracle as O
 from txrisk.functions import risk as R
-from txrisk.operators import cleaning, eda, features, metrics, stats
+from txrisk.functions.hashing import draw, sql_draw, sql_uniform
+from txrisk.operators import cleaning, eda, features, metrics, ordering, stats
 from txrisk.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -625,9 +626,17 @@ def q_split_counts(spark, sf_dir):
     return s.groupBy(F.col("Class").cast("int").alias("Class"), "split").agg(F.count(F.lit(1)).alias("count"))
 
 
-@register("train_test_split")
+@register(
+    "train_test_split",
+    O.with_tx(
+        _SPLIT_SQL
+        + f""",
+d AS (SELECT id, tx.Class, n_c - n_train AS n_test, row_number() OVER (PARTITION BY tx.Class ORDER BY {sql_draw(42, "id")}, id) AS r
+      FROM tx JOIN tr ON tx.Class = tr.Class)
+SELECT id, Class, CASE WHEN r <= n_test THEN 'test' ELSE 'train' END AS split FROM d"""
+    ),
+)
 def q_train_test_split(spark, sf_dir):
-    # rows-only: membership comes from hashed draws
     return S.with_split(tables.transactions(spark, sf_dir)).select("id", "Class", "split")
 
 
@@ -645,11 +654,26 @@ def q_undersample_counts(spark, sf_dir):
     return u.groupBy(F.col("Class").cast("int").alias("Class")).agg(F.count(F.lit(1)).alias("count"))
 
 
-@register("undersample_rows")
+def _undersample_sql(ratio: float) -> str:
+    return O.with_tx(
+        f"""
+, cc AS (SELECT least(CAST(floor(count(*) FILTER (WHERE Class = 1) * CAST({ratio} AS DOUBLE)) AS BIGINT), count(*) FILTER (WHERE Class <> 1)) AS keep FROM tx),
+d AS (SELECT id, Class, row_number() OVER (ORDER BY {sql_draw(42, "id")}, id) AS r FROM tx WHERE Class <> 1)
+SELECT id, Class FROM tx WHERE Class = 1 UNION ALL SELECT id, Class FROM d, cc WHERE r <= keep"""
+    )
+
+
+@register("undersample_rows", _undersample_sql(10.0))
 def q_undersample_rows(spark, sf_dir):
     return S.random_undersample(tables.transactions(spark, sf_dir), ratio=10.0).select("id", "Class")
 
 
+@register("undersample_rows_ratio_2_5", _undersample_sql(2.5))
+def q_undersample_rows_small(spark, sf_dir):
+    # fewer than all majority rows: membership depends on the draws
+    return S.random_undersample(tables.transactions(spark, sf_dir), ratio=2.5).select("id", "Class")
+
+
 @register(
     "class_weights",
     O.with_tx(
@@ -663,6 +687,41 @@ def q_class_weights(spark, sf_dir):
     return rounded(w.select(F.col("Class").cast("int").alias("Class"), "count", "weight"))
 
 
+@register(
+    "fold_rows",
+    O.with_tx(
+        f"""
+, d AS (SELECT id, Class, row_number() OVER (PARTITION BY Class ORDER BY {sql_draw(42, "id")}, id) AS r, count(*) OVER (PARTITION BY Class) AS n FROM tx)
+SELECT id, CAST(CASE WHEN r <= n // 3 + least(1, n % 3) THEN 0 WHEN r <= 2 * (n // 3) + least(2, n % 3) THEN 1 ELSE 2 END AS INTEGER) AS fold FROM d"""
+    ),
+)
+def q_fold_rows(spark, sf_dir):
+    return S.stratified_folds(tables.transactions(spark, sf_dir), 3).select("id", "fold")
+
+
+@register(
+    "capped_majority_rows",
+    O.with_tx(
+        f"""
+, d AS (SELECT id, Class, row_number() OVER (ORDER BY {sql_draw(42, "id")}, id) AS r FROM tx WHERE Class <> 1)
+SELECT id, Class FROM tx WHERE Class = 1 UNION ALL SELECT id, Class FROM d WHERE r <= 450"""
+    ),
+)
+def q_capped_majority(spark, sf_dir):
+    # the boosting cap, above 500 rows: every fraud row and 450 others
+    return S.cap_majority(tables.transactions(spark, sf_dir), max_rows=500, keep_majority=450).select("id", "Class")
+
+
+@register(
+    "shuffled_order",
+    O.with_tx(f"""\nSELECT id, row_number() OVER (ORDER BY {sql_draw(42, "id")}, id) - 1 AS place FROM tx"""),
+)
+def q_shuffled(spark, sf_dir):
+    # the rows' places in the hashed order
+    tx = tables.transactions(spark, sf_dir).select("id")
+    return ordering.with_positions(tx.withColumn("_u", draw(42, "id")), ["_u", "id"], pos_col="place").select("id", "place")
+
+
 @register(
     "fold_counts",
     O.with_tx(
@@ -719,10 +778,25 @@ def q_smote_allocation(spark, sf_dir):
     return bases.join(made, "base_id", "left").select("base_id", F.coalesce("n_synthetic", F.lit(0)).cast("bigint").alias("n_synthetic"))
 
 
-@register("smote_rows")
+_SMOTE_OUT = ", ".join(f"{r6(c)} AS {c}" for c in V_COLUMNS)
+
+
+@register(
+    "smote_rows",
+    _knn_sql(5).split("SELECT id, CAST(rank")[0]
+    + f""",
+mm AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM m),
+cc AS (SELECT count(*) FILTER (WHERE Class = 1) AS n_min, count(*) FILTER (WHERE Class <> 1) AS n_maj FROM tx),
+g AS (SELECT n_maj - n_min AS n_gen, (n_maj - n_min) // n_min + 1 AS n_per, least(5, n_min - 1) AS k FROM cc),
+slots AS (SELECT mm.*, n_per, k, unnest(range(greatest(0, least(n_per, n_gen - pos * n_per)))) AS s FROM mm, g),
+d AS (SELECT *, floor({sql_uniform(42, "id", "s", salt=1)} * k) + 1 AS pick, {sql_uniform(42, "id", "s", salt=2)} AS alpha FROM slots),
+made AS (SELECT -(d.pos * d.n_per + d.s) - 1 AS id, {", ".join(f"d.{c} + d.alpha * (b.{c} - d.{c}) AS {c}" for c in V_COLUMNS)}, 1 AS Class, true AS is_synthetic, d.id AS base_id
+  FROM d JOIN ranked r ON r.id = d.id AND r.rank = d.pick JOIN m b ON b.id = r.nid),
+both_ AS (SELECT id, {", ".join(V_COLUMNS)}, Class, false AS is_synthetic, NULL::BIGINT AS base_id FROM tx UNION ALL SELECT * FROM made)
+SELECT id, {_SMOTE_OUT}, Class, is_synthetic, base_id FROM both_""",
+)
 def q_smote_rows(spark, sf_dir):
-    # rows-only: synthetic values come from hashed draws (invariants are in tests)
-    return S.smote(tables.transactions(spark, sf_dir), V_COLUMNS)
+    return rounded(S.smote(tables.transactions(spark, sf_dir), V_COLUMNS))
 
 
 # ---------------------------------------------------------------------------

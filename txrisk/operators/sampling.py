@@ -1,9 +1,9 @@
 """Splitting and rebalancing with exact counts and partition-independent randomness.
 
-Row selection ranks rows by a hashed uniform inside each class with the
-scalable ``attach_positions`` (range partitioning on (label, u, id) splits a hot
-class across many tasks) and keeps a computed number of leading positions.
-Only per-class counts (one row per class) reach the driver.
+Every row has a draw from its id.  The n rows of a class with the smallest (draw, id)
+are those up to the n-th one's, which :mod:`txrisk.operators.selection` finds from counts
+of prefixes: splits, samples and folds are filters on the row's own draw, without sort,
+shuffle or join.  Per-class counts (one row per class) and counts of prefixes reach the driver.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.functions.hashing import uniform
+from txrisk.functions.hashing import draw, uniform
 from txrisk.operators.ordering import attach_positions
+from txrisk.operators.selection import rank_limits, up_to
 
 
 def class_counts_map(df: DataFrame, label: str = "Class") -> dict[int, int]:
@@ -46,31 +47,25 @@ def split_sizes(counts: dict, test_size: float = 0.2) -> dict:
     return {c: counts[c] - train[c] for c in counts}
 
 
-def _rank_in_class(df: DataFrame, label: str, seed: int, id_col: str, pos_col: str) -> DataFrame:
-    u = uniform(seed, id_col).alias("_u")
-    return attach_positions(df.withColumn("_u", u), ["_u", id_col], key=id_col, group_cols=[label], pos_col=pos_col).drop("_u")
+def _first_in_class(df: DataFrame, sizes: dict, label: str, seed: int, id_col: str):
+    """Column: is the row among the ``sizes[class]`` first ones of its class in (draw, id) order?"""
+    d = draw(seed, id_col)
+    limits = rank_limits(df, d, id_col, {c: [n] for c, n in sizes.items()}, label)
+    return up_to(d, id_col, {c: v[0] for c, v in limits.items()}, label)
+
+
+def with_split(df: DataFrame, label: str = "Class", test_size: float = 0.2, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """Exact stratified split as a column ``split`` in {'train', 'test'}; per-class sizes as computed by :func:`split_sizes`."""
+    in_test = _first_in_class(df, split_sizes(class_counts_map(df, label), test_size), label, seed, id_col)
+    return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 
 def stratified_split(
     df: DataFrame, label: str = "Class", test_size: float = 0.2, seed: int = 42, id_col: str = "id"
 ) -> tuple[DataFrame, DataFrame]:
-    """Exact stratified train/test split (disjoint, covering, per-class sizes as computed by :func:`split_sizes`)."""
-    counts = class_counts_map(df, label)
-    test_n = split_sizes(counts, test_size)
-    ranked = _rank_in_class(df, label, seed, id_col, "_spos")
-    limit = F.create_map(*[x for c, t in test_n.items() for x in (F.lit(c), F.lit(t))])
-    is_test = F.col("_spos") < limit[F.col(label)]
-    marked = ranked.withColumn("_test", is_test)
-    return marked.filter(~F.col("_test")).drop("_spos", "_test"), marked.filter(F.col("_test")).drop("_spos", "_test")
-
-
-def with_split(df: DataFrame, label: str = "Class", test_size: float = 0.2, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """Same split as a column ``split`` in {'train', 'test'}."""
-    counts = class_counts_map(df, label)
-    test_n = split_sizes(counts, test_size)
-    ranked = _rank_in_class(df, label, seed, id_col, "_spos")
-    limit = F.create_map(*[x for c, t in test_n.items() for x in (F.lit(c), F.lit(t))])
-    return ranked.withColumn("split", F.when(F.col("_spos") < limit[F.col(label)], "test").otherwise("train")).drop("_spos")
+    """The same split as a pair (train, test), disjoint and covering."""
+    in_test = _first_in_class(df, split_sizes(class_counts_map(df, label), test_size), label, seed, id_col)
+    return df.filter(~in_test), df.filter(in_test)
 
 
 def undersample_size(n_min: int, n_maj: int, ratio: float) -> int:
@@ -85,10 +80,14 @@ def random_undersample(
     n_min = counts.get(minority, 0)
     n_maj = sum(v for k, v in counts.items() if k != minority)
     keep = undersample_size(n_min, n_maj, ratio)
-    mino = df.filter(F.col(label) == minority)
-    maj = df.filter(F.col(label) != minority)
-    ranked = attach_positions(maj.withColumn("_u", uniform(seed, id_col)), ["_u", id_col], key=id_col, pos_col="_upos")
-    return mino.unionByName(ranked.filter(F.col("_upos") < keep).drop("_u", "_upos"))
+    return df.filter((F.col(label) == minority) | ((F.col(label) != minority) & _first_others(df, minority, keep, label, seed, id_col)))
+
+
+def _first_others(df: DataFrame, minority: int, n: int, label: str, seed: int, id_col: str):
+    """Column: is the row among the first ``n`` rows in (draw, id) order of all classes but the minority?"""
+    d = draw(seed, id_col)
+    limits = rank_limits(df.filter(F.col(label) != minority), d, id_col, {None: [n]})
+    return up_to(d, id_col, {None: limits[None][0]})
 
 
 def cap_majority(
@@ -98,10 +97,7 @@ def cap_majority(
     counts = class_counts_map(df, label)
     if sum(counts.values()) <= max_rows:
         return df
-    mino = df.filter(F.col(label) == 1)
-    maj = df.filter(F.col(label) != 1)
-    ranked = attach_positions(maj.withColumn("_u", uniform(seed, id_col)), ["_u", id_col], key=id_col, pos_col="_upos")
-    return mino.unionByName(ranked.filter(F.col("_upos") < keep_majority).drop("_u", "_upos"))
+    return df.filter((F.col(label) == 1) | ((F.col(label) != 1) & _first_others(df, 1, keep_majority, label, seed, id_col)))
 
 
 def shuffled(df: DataFrame, seed: int = 42, id_col: str = "id") -> DataFrame:
@@ -110,9 +106,15 @@ def shuffled(df: DataFrame, seed: int = 42, id_col: str = "id") -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, n_folds: int = 3, label: str = "Class", seed: int = 42, id_col: str = "id", fold_col: str = "fold") -> DataFrame:
-    """Stratified fold ids: position in hashed order within the class, modulo ``n_folds``."""
-    ranked = _rank_in_class(df, label, seed, id_col, "_fpos")
-    return ranked.withColumn(fold_col, F.pmod(F.col("_fpos"), F.lit(n_folds)).cast("int")).drop("_fpos")
+    """Stratified fold ids: each class, in (draw, id) order, is cut into ``n_folds`` stretches whose sizes differ by one at most."""
+    counts = class_counts_map(df, label)
+    ends = {c: [sum(n // n_folds + (j < n % n_folds) for j in range(f + 1)) for f in range(n_folds - 1)] for c, n in counts.items()}
+    d = draw(seed, id_col)
+    limits = rank_limits(df, d, id_col, ends, label)
+    fold = F.lit(n_folds - 1)
+    for f in reversed(range(n_folds - 1)):
+        fold = F.when(up_to(d, id_col, {c: v[f] for c, v in limits.items()}, label), F.lit(f)).otherwise(fold)
+    return df.withColumn(fold_col, fold.cast("int"))
 
 
 def class_weight_map(df: DataFrame, label: str = "Class") -> dict:
@@ -138,10 +140,6 @@ def with_class_weights(df: DataFrame, label: str = "Class", weight_col: str = "w
     return df.withColumn(weight_col, m[F.col(label)])
 
 
-def distinct_classes(df: DataFrame, label: str = "Class") -> DataFrame:
-    return df.select(label).distinct()
-
-
 def smote_allocation(n_min: int, n_maj: int) -> tuple[int, int]:
     """(synthetic rows to make, slots per base row): base rows are filled in order, n_gen // n_min + 1 each."""
     n_gen = n_maj - n_min
@@ -156,7 +154,6 @@ def smote(
     seed: int = 42,
     id_col: str = "id",
     minority: int = 1,
-    knn_method: str = "auto",
 ) -> DataFrame:
     """SMOTE oversampling of the minority class up to the majority count.
 
@@ -182,7 +179,7 @@ def smote(
     if k < 1:
         raise ValueError("SMOTE needs at least two minority rows")
     mino = df.filter(F.col(label) == minority).select(id_col, vector(feats).alias("_x"))
-    nb = knn(mino.select(id_col, *[F.col("_x")[i].alias(c) for i, c in enumerate(feats)]), feats, k, id_col=id_col, method=knn_method)
+    nb = knn(mino.select(id_col, *[F.col("_x")[i].alias(c) for i, c in enumerate(feats)]), feats, k, id_col=id_col)
     pos = attach_positions(mino, [id_col], key=id_col, pos_col="_mpos")  # positions on the ids only
     cnt = F.least(F.lit(n_per), F.greatest(F.lit(n_gen) - F.col("_mpos") * n_per, F.lit(0)))
     slots = pos.withColumn("_cnt", cnt).filter(F.col("_cnt") > 0).select(
