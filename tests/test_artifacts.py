@@ -41,3 +41,46 @@ def test_importance_csv_round_trip(spark, tmpdir_fresh):
 def test_text_artifact(spark, tmpdir_fresh):
     artifacts.write_text(spark, '{"a": 1}', f"{tmpdir_fresh}/t")
     assert artifacts.read_text(spark, f"{tmpdir_fresh}/t") == '{"a": 1}'
+
+
+def test_two_savers_leave_two_versions_and_one_latest(spark, tmpdir_fresh):
+    import threading
+
+    from pyspark.ml import PipelineModel
+
+    store = f"{tmpdir_fresh}/store"
+    model = PipelineModel(stages=[])
+    real = artifacts.listed
+
+    def both_see_the_same(*args):  # each saver lists the manifest before the other has entered its version
+        out = real(*args)
+        if not out and not gate.broken:
+            try:
+                gate.wait(20)
+            except threading.BrokenBarrierError:
+                pass
+        return out
+
+    gate = threading.Barrier(2)
+    order: list[str] = []
+    lock = threading.Lock()
+    create = artifacts._create_only
+
+    def one_at_a_time(*args):
+        with lock:
+            return create(*args)
+
+    artifacts.listed, artifacts._create_only = both_see_the_same, one_at_a_time
+    try:
+        threads = [threading.Thread(target=lambda v=v: order.append(artifacts.save_model(spark, model, "m", store, version=v))) for v in ("1", "2")]
+        [t.start() for t in threads]
+        [t.join(120) for t in threads]
+    finally:
+        artifacts.listed, artifacts._create_only = real, create
+    entries = spark.read.option("recursiveFileLookup", True).json(f"{store}/manifest").collect()
+    assert sorted(r["version"] for r in entries) == ["1", "2"] and sorted(r["number"] for r in entries) == [0, 1]
+    latest = artifacts.manifest(spark, store).collect()
+    assert [r["version"] for r in latest] == [max(entries, key=lambda r: r["number"])["version"]]
+    assert len(set(order)) == 2 and artifacts.load_model(spark, "m", store) is not None
+    with pytest.raises(KeyError):
+        artifacts.load_model(spark, "other", store)

@@ -8,7 +8,7 @@ from tests.conftest import SF001
 from txrisk.operators.stats import fit_feature_stats
 from txrisk.plans import models as M
 from txrisk.plans.scoring import score_table
-from txrisk.schema import FEATURE_COLUMNS
+from txrisk.schema import FEATURE_COLUMNS, PREDICTION_LOG_SCHEMA
 from txrisk.sources import artifacts, tables
 from txrisk.streaming.scorer import StreamScorer, read_stream, running_totals_stream
 
@@ -67,7 +67,7 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, setup, tmpdir_fresh
     fraud = log.filter(F.col("risk_level") == "FRAUD").count()
     assert totals["fraud_detected"] == fraud
 
-    # replaying the last batch rewrites its folder instead of appending
+    # replaying the last batch replaces its attempt instead of appending
     last = max(int(p.split("=")[1]) for p in os.listdir(f"{tmpdir_fresh}/state/tail"))
     first_day = last * 7  # 7 files per trigger
     same_input = [f"{src}/day={d:03d}" for d in range(first_day, n_days)]
@@ -98,8 +98,6 @@ def test_running_totals_stream_over_log_folder(spark, setup, tmpdir_fresh):
     tx, stats, model = setup
     scorer = StreamScorer(spark, model, stats, f"{tmpdir_fresh}/log", f"{tmpdir_fresh}/state")
     scorer.process_batch(tx, 0)
-    from txrisk.schema import PREDICTION_LOG_SCHEMA
-
     logs = spark.readStream.schema(PREDICTION_LOG_SCHEMA).json(f"{tmpdir_fresh}/log/*/*")
     q = running_totals_stream(logs).writeStream.outputMode("complete").format("memory").queryName("rt_totals").trigger(availableNow=True).start()
     q.awaitTermination(300)
@@ -124,6 +122,32 @@ def test_latest_log_skips_malformed_lines(spark, tmpdir_fresh):
     assert artifacts.read_log(spark, f"{tmpdir_fresh}/nothing").count() == 0
 
 
+def test_readers_see_committed_attempts_only(spark, tmpdir_fresh):
+    log = f"{tmpdir_fresh}/log"
+    rows = lambda n, tag: spark.range(n).select(F.concat(F.lit(tag), F.col("id").cast("string")).alias("tx_id"), *[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in PREDICTION_LOG_SCHEMA.fields if f.name != "tx_id"])
+    ids = lambda df: sorted(r.tx_id for r in df.collect())
+    artifacts.write_log_batch(rows(2, "a"), log, "2026-01-01", 0)
+    artifacts.write_log_batch(rows(3, "b"), log, "2026-01-02", 1)
+    before = artifacts.read_log(spark, log)
+    assert ids(before) == ["a0", "a1", "b0", "b1", "b2"]
+    # half a replay of batch 1: rows written, not committed; nothing changes for readers, old and new
+    rows(1, "c").write.json(f"{log}/log_date=2026-01-02/batch_id=1-a_half")
+    assert ids(artifacts.read_log(spark, log)) == ids(before)
+    artifacts.write_log_batch(rows(4, "d"), log, "2026-01-02", 1)
+    assert ids(artifacts.read_log(spark, log)) == ["a0", "a1", "d0", "d1", "d2", "d3"]
+    assert ids(before) == ["a0", "a1", "b0", "b1", "b2"]  # a reader that started earlier still has the batch it saw
+    # a later day with an uncommitted attempt is not the last day; only the last day's files are read
+    rows(1, "e").write.json(f"{log}/log_date=2026-01-03/batch_id=2-a_half")
+    assert artifacts.last_log_day(spark, log) == "2026-01-02"
+    latest = artifacts.read_latest_log(spark, log)
+    assert ids(latest) == ["d0", "d1", "d2", "d3"]
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2026-01-02" in plan.split("PartitionFilters", 1)[1][:200]
+    artifacts.write_log_batch(rows(0, "f"), log, "2026-01-04", 3)  # an empty batch
+    assert artifacts.read_latest_log(spark, log).count() == 0
+
+
 def test_alert_page_over_latest_log(spark, setup, tmpdir_fresh):
     from txrisk.plans.scoring import alert_page
 
@@ -139,3 +163,26 @@ def test_alert_page_over_latest_log(spark, setup, tmpdir_fresh):
     assert scores == sorted(scores, reverse=True)
     _, everything = alert_page(spark, f"{tmpdir_fresh}/log", levels=[])
     assert everything.count() == min(100, tx.count())
+
+
+def test_running_statistics_survive_a_restart(spark, tmpdir_fresh):
+    from txrisk.streaming import running
+
+    rows = [(f"TX_{i:06d}", (i * 37 % 1001) / 10.0, ["SAFE", "SUSPICIOUS", "FRAUD"][(i * 37 % 1001 >= 300) + (i * 37 % 1001 >= 700)], "REVIEW") for i in range(1, 301)]
+    schema = "tx_id string, fraud_score double, risk_level string, decision string"
+    own = running.stream_session(spark, 4)
+
+    def arrive(first, last):
+        for k in range(first, last):  # a file each, in order
+            spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.parquet(f"{tmpdir_fresh}/in/part={k}")
+            for f in os.listdir(f"{tmpdir_fresh}/in/part={k}"):
+                os.utime(f"{tmpdir_fresh}/in/part={k}/{f}", (1_600_000_000 + 60 * k,) * 2)
+        stream = read_stream(own, f"{tmpdir_fresh}/in", schema, max_files=1)
+        running.start(stream, f"{tmpdir_fresh}/out", f"{tmpdir_fresh}/ckpt", shards=5).awaitTermination()
+        return running.statistics(spark, f"{tmpdir_fresh}/out").first()
+
+    for s, done in ((arrive(0, 2), rows[:100]), (arrive(2, 6), rows)):  # a new query goes on from the checkpoint
+        assert s["total_processed"] == len(done) and s["fraud_detected"] == sum(r[2] == "FRAUD" for r in done) == s["alert_distribution"]["FRAUD"]
+        assert s["avg_score"] == sum(round(r[1] * 10) for r in done) / 10.0 / len(done)
+        assert [a["tx_id"] for a in s["recent_alerts"]] == [r[0] for r in done[-20:]]
+    assert len(os.listdir(f"{tmpdir_fresh}/ckpt/commits")) >= 6  # one micro-batch a file

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from txrisk import oracle as O
 from txrisk.functions import risk as R
 from txrisk.functions.hashing import draw, sql_draw, sql_uniform
-from txrisk.operators import cleaning, eda, features, metrics, ordering, stats
+from txrisk.operators import cleaning, eda, features, metrics, moments, ordering, stats
 from txrisk.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,13 +463,17 @@ def q_best_model(spark, sf_dir):
 from txrisk.operators import alerts  # noqa: E402
 
 
-def scored_transactions(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """Transactions scored with the fixture probability, ids ``TX_%06d`` in (Time, id) order."""
+def scored_rows(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
+    """Transactions scored with the fixture probability, without ids."""
     tx = tables.transactions(spark, sf_dir).select("id", "Time", "Amount")
     p = (tables.fixture_probability(F.col("Amount")) / 1000.0).alias("fraud_probability")
     scored = alerts.score(tx.select("id", "Time", p), threshold=threshold)
-    scored = scored.withColumns({"alert_action": R.risk_action(F.col("risk_level")), "alert_color": R.alert_struct(F.col("fraud_score"))["color"]})
-    return alerts.assign_tx_ids(scored, ["Time", "id"])
+    return scored.withColumns({"alert_action": R.risk_action(F.col("risk_level")), "alert_color": R.alert_struct(F.col("fraud_score"))["color"]})
+
+
+def scored_transactions(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
+    """The same with ids ``TX_%06d`` in (Time, id) order."""
+    return alerts.assign_tx_ids(scored_rows(spark, sf_dir, threshold), ["Time", "id"])
 
 
 def _scored_sql(threshold: str = "CAST(0.5 AS DOUBLE)") -> str:
@@ -524,7 +528,7 @@ FROM scored"""
     ),
 )
 def q_running_stats(spark, sf_dir):
-    return rounded(alerts.running_stats(scored_transactions(spark, sf_dir)).drop("alert_distribution"))
+    return rounded(alerts.running_stats(scored_rows(spark, sf_dir)).drop("alert_distribution"))
 
 
 @register(
@@ -539,7 +543,7 @@ FROM scored"""
     ),
 )
 def q_alert_counts(spark, sf_dir):
-    return rounded(alerts.risk_counts(scored_transactions(spark, sf_dir)))
+    return rounded(alerts.risk_counts(scored_rows(spark, sf_dir)))
 
 
 @register(
@@ -548,11 +552,11 @@ def q_alert_counts(spark, sf_dir):
         _scored_sql()
         + """
 SELECT tx_id, fraud_score, fraud_probability, risk_level, decision FROM scored
-WHERE risk_level IN ('SUSPICIOUS', 'FRAUD') ORDER BY fraud_score DESC, tx_id LIMIT 100"""
+WHERE risk_level IN ('SUSPICIOUS', 'FRAUD') ORDER BY fraud_score DESC, Time, id LIMIT 100"""
     ),
 )
 def q_alert_board(spark, sf_dir):
-    return rounded(alerts.alert_board(scored_transactions(spark, sf_dir)))
+    return rounded(alerts.table_board(scored_rows(spark, sf_dir)))
 
 
 @register(
@@ -560,12 +564,12 @@ def q_alert_board(spark, sf_dir):
     O.with_tx(
         _scored_sql()
         + """
-SELECT tx_id, fraud_score, fraud_probability, risk_level, decision FROM scored ORDER BY fraud_score DESC, tx_id LIMIT 100"""
+SELECT tx_id, fraud_score, fraud_probability, risk_level, decision FROM scored ORDER BY fraud_score DESC, Time, id LIMIT 100"""
     ),
 )
 def q_alert_board_all(spark, sf_dir):
     # an empty risk selection means every level
-    return rounded(alerts.alert_board(scored_transactions(spark, sf_dir), levels=[]))
+    return rounded(alerts.table_board(scored_rows(spark, sf_dir), levels=[]))
 
 
 @register(
@@ -573,12 +577,11 @@ def q_alert_board_all(spark, sf_dir):
     O.with_tx(
         _scored_sql()
         + """
-SELECT tx_id, fraud_score, risk_level, decision FROM scored ORDER BY Time DESC, tx_id DESC LIMIT 20"""
+SELECT tx_id, fraud_score, risk_level, decision FROM scored ORDER BY Time DESC, id DESC LIMIT 20"""
     ),
 )
 def q_recent(spark, sf_dir):
-    s = scored_transactions(spark, sf_dir)
-    return alerts.recent(s, 20, [F.col("Time").desc(), F.col("tx_id").desc()]).select("tx_id", "fraud_score", "risk_level", "decision")
+    return alerts.table_recent(scored_rows(spark, sf_dir), 20).select("tx_id", "fraud_score", "risk_level", "decision")
 
 
 @register(
@@ -591,8 +594,7 @@ SELECT tx_id, fraud_probability, fraud_score, risk_level, decision FROM scored O
 )
 def q_stream_head(spark, sf_dir):
     # max_transactions: the first 500 transactions of the stream order
-    s = scored_transactions(spark, sf_dir)
-    return alerts.first_n(s, 500, ["Time", "id"]).select("tx_id", "fraud_probability", "fraud_score", "risk_level", "decision")
+    return alerts.table_head(scored_rows(spark, sf_dir), 500).select("tx_id", "fraud_probability", "fraud_score", "risk_level", "decision")
 
 
 # ---------------------------------------------------------------------------
@@ -825,10 +827,10 @@ _LONG_SQL = (
 )
 
 
-def _engineered_long(spark, sf_dir) -> DataFrame:
+def _engineered_moments(spark, sf_dir, *groups) -> DataFrame:
+    """Moments of all features per label (and group), from one pass over the wide rows."""
     feats, _ = features.engineer_features(tables.transactions(spark, sf_dir))
-    wide = feats.select("Class", F.col("Time").alias("_time"), *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
-    return wide.unpivot(["Class", "_time"], FEATURE_COLUMNS, "feature", "value")
+    return moments.label_moments(feats, FEATURE_COLUMNS, "Class", groups)
 
 
 def _feature_lookup(spark) -> DataFrame:
@@ -849,7 +851,7 @@ FROM long JOIN names USING (feature) GROUP BY feature, display_name"""
     ),
 )
 def q_feature_profile(spark, sf_dir):
-    prof = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    prof = moments.moments(_engineered_moments(spark, sf_dir))
     # 38-row lookup: broadcast
     out = prof.join(F.broadcast(_feature_lookup(spark)), "feature").select(
         "feature", "display_name", R.feature_group(F.col("feature")).alias("feature_group"), "mean", "std"
@@ -878,7 +880,7 @@ FROM norm"""
 )
 def q_importance_ranking(spark, sf_dir):
     # importance = |correlation with the label| of each engineered feature, then the published normalise/rank rule
-    raw = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.abs(X.correlation(F.col("value"), F.col("Class").cast("double"))).alias("raw"))
+    raw = moments.label_correlation(_engineered_moments(spark, sf_dir)).select("feature", F.abs("correlation").alias("raw"))
     raw = raw.join(F.broadcast(_feature_lookup(spark).select("feature", "position")), "feature")
     return rounded(X.rank_importance(raw), importance_pct=2)
 
@@ -897,7 +899,7 @@ FROM rk WHERE rank <= 20"""
     ),
 )
 def q_top_features(spark, sf_dir):
-    raw = _engineered_long(spark, sf_dir).groupBy("feature").agg(F.abs(X.correlation(F.col("value"), F.col("Class").cast("double"))).alias("raw"))
+    raw = moments.label_correlation(_engineered_moments(spark, sf_dir)).select("feature", F.abs("correlation").alias("raw"))
     raw = raw.join(F.broadcast(_feature_lookup(spark).select("feature", "position")), "feature")
     return X.top_features(X.rank_importance(raw), 20).select("feature", "rank", "display_name", "group")
 
@@ -914,9 +916,9 @@ FROM long JOIN (SELECT id, Time FROM tx) USING (id) GROUP BY ALL"""
 )
 def q_feature_label_correlation(spark, sf_dir):
     # zero-safe correlation aggregate (explanation contributions), per quarter of the day and feature
-    part = (F.floor(F.pmod(F.col("_time") / 3600.0, F.lit(24.0))).cast("int") / 6).cast("int")
-    out = _engineered_long(spark, sf_dir).groupBy(part.alias("day_part"), "feature").agg(X.correlation(F.col("value"), F.col("Class").cast("double")).alias("contribution"))
-    return rounded(out)
+    part = (F.floor(F.pmod(F.col("Time") / 3600.0, F.lit(24.0))).cast("int") / 6).cast("int").alias("day_part")
+    out = moments.label_correlation(_engineered_moments(spark, sf_dir, part), ["day_part"])
+    return rounded(out.withColumnRenamed("correlation", "contribution"))
 
 
 @register(
@@ -1029,25 +1031,76 @@ def q_record_scoring(spark, sf_dir):
     return score_records(models["Gradient Boosting"], recs, stats_)
 
 
+def _in_order(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """Give the files of some folders modification times in the order of the folders, as if they had arrived one after another."""
+    from txrisk.sources.artifacts import _hadoop
+
+    for i, name in enumerate(names):
+        fs, path = _hadoop(spark, f"{folder}/{name}")
+        for st in fs.listStatus(path):
+            fs.setTimes(st.getPath(), 1_600_000_000_000 + 60_000 * i, -1)
+
+
+def _daily_files(spark: SparkSession, rows: DataFrame, folder: str) -> int:
+    """``rows`` as one file a day, the days in order; returns their number."""
+    from txrisk.sources.artifacts import listed
+
+    rows.withColumn("day", F.format_string("%06d", F.floor(F.col("Time") / 86400).cast("long"))).repartition("day").write.mode("append").partitionBy("day").parquet(folder)
+    days = listed(spark, folder, "day=")
+    _in_order(spark, folder, [f"day={d}" for d in days])
+    return len(days)
+
+
 @register("stream_prediction_log")
 def q_stream_log(spark, sf_dir):
-    """All transactions streamed day by day through the scorer; the dated log read back."""
+    """All transactions streamed in order of their days, in six micro-batches, through the scorer; the dated log read back."""
     from txrisk.sources import artifacts
     from txrisk.streaming.scorer import StreamScorer, read_stream
 
     stats_, models, _, _ = trained_models(spark, sf_dir)
     tx = tables.transactions(spark, sf_dir)
     base = _scratch(spark, "stream")
-    tx.withColumn("day", F.floor(F.col("Time") / 86400).cast("int")).write.partitionBy("day").parquet(f"{base}/in")
+    days = _daily_files(spark, tx, f"{base}/in")
     scorer = StreamScorer(spark, models["Gradient Boosting"], stats_, f"{base}/log", f"{base}/state")
-    from pyspark.sql import types as T
-
-    schema = T.StructType(tx.schema.fields + [T.StructField("day", T.IntegerType())])
-    q = scorer.start(read_stream(spark, f"{base}/in", schema, max_files=1000).drop("day"), f"{base}/ckpt")
+    q = scorer.start(read_stream(spark, f"{base}/in", tx.schema, max_files=-(-days // 6)), f"{base}/ckpt")
     q.awaitTermination()
     return artifacts.read_log(spark, f"{base}/log").drop("log_date", "timestamp")
 
 
+@register(
+    "stream_running_stats",
+    O.with_tx(
+        _scored_sql()
+        + f""",
+last AS (SELECT * FROM scored ORDER BY Time DESC, id DESC LIMIT 20)
+SELECT count(*) AS total_processed, count(*) FILTER (WHERE risk_level = 'FRAUD') AS fraud_detected,
+       {r6('avg(fraud_score)')} AS avg_score,
+       count(*) FILTER (WHERE risk_level = 'SAFE') AS n_safe, count(*) FILTER (WHERE risk_level = 'SUSPICIOUS') AS n_suspicious,
+       count(*) FILTER (WHERE risk_level = 'FRAUD') AS n_fraud,
+       round(count(*) FILTER (WHERE risk_level = 'FRAUD') / greatest(count(*), 1) * 100.0, 2) AS fraud_rate_pct,
+       CAST(0.5 AS DOUBLE) AS current_threshold,
+       (SELECT string_agg(tx_id || ' ' || risk_level || ' ' || decision, ',' ORDER BY Time, id) FROM last) AS recent_alerts
+FROM scored"""
+    ),
+)
+def q_stream_running_stats(spark, sf_dir):
+    """Scored transactions streamed in six micro-batches, the query stopped and started again half way; totals and the last 20."""
+    from txrisk.streaming import running
+    from txrisk.streaming.scorer import read_stream
+
+    base = _scratch(spark, "running")
+    rows = scored_transactions(spark, sf_dir)
+    half = F.col("Time") < float(rows.agg(F.max("Time")).first()[0] or 0.0) // 172800 * 86400
+    own = running.stream_session(spark)
+    for part in (rows.filter(half), rows.filter(~half)):  # the query ends with the first half; another goes on from its state
+        days = _daily_files(spark, part, f"{base}/in")
+        stream = read_stream(own, f"{base}/in", rows.schema, max_files=max(1, -(-days // 6)))
+        running.start(stream, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    out = running.statistics(spark, f"{base}/out").drop("alert_distribution")
+    last = F.array_join(F.transform("recent_alerts", lambda r: F.concat_ws(" ", r["tx_id"], r["risk_level"], r["decision"])), ",")
+    return rounded(out.withColumn("recent_alerts", last))
+
+
 @register(
     "minmax_scores",
     O.with_pred(f"""

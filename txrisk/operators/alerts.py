@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions import risk as R
-from txrisk.operators.ordering import attach_positions
+from txrisk.operators.ordering import attach_positions, positions_of
 from txrisk.schema import DEFAULT_ALERT_FILTER, DEFAULT_THRESHOLD, RISK_LEVELS
 
 LOG_COLUMNS = ["tx_id", "timestamp", "fraud_probability", "fraud_score", "risk_level", "decision", "threshold_used"]
@@ -97,3 +97,37 @@ def recent(log: DataFrame, k: int = 20, order_cols: Sequence[Column] | None = No
 def first_n(df: DataFrame, n: int | None, order_cols: Sequence[str | Column]) -> DataFrame:
     """At most ``n`` transactions in stream order (None = all)."""
     return df if n is None else df.orderBy(*order_cols).limit(n)
+
+
+# ---------------------------------------------------------------------------
+# the same reports over a table that has no tx_id yet: few rows first, then their ids
+# ---------------------------------------------------------------------------
+
+
+def _with_ids_of(few: DataFrame, table: DataFrame, fmt: str = "TX_%06d") -> DataFrame:
+    """The rows of ``few`` (a report of ``table``) with their ids by position in (Time, id) order.
+
+    The rows pass the driver, so a report has a limit.  ``id`` must be unique.
+    """
+    rows = few.collect()
+    at = positions_of(table, "Time", "id", [(r["Time"], r["id"]) for r in rows])
+    schema = few.schema.add("tx_id", "string")
+    return few.sparkSession.createDataFrame([(*r, fmt % (p + 1)) for r, p in zip(rows, at)], schema)
+
+
+def table_board(scored: DataFrame, levels: Sequence[str] | None = tuple(DEFAULT_ALERT_FILTER), top: int = 100) -> DataFrame:
+    """:func:`alert_board` of scored rows without ids; ties of the score in stream order (Time, id)."""
+    few = filter_risk(scored, levels).orderBy(F.col("fraud_score").desc(), "Time", "id").limit(top)
+    return _with_ids_of(few, scored).select(*[c for c in BOARD_COLUMNS if c == "tx_id" or c in few.columns])
+
+
+def table_recent(scored: DataFrame, k: int = 20) -> DataFrame:
+    """:func:`recent` of scored rows without ids: the last ``k`` in stream order."""
+    return _with_ids_of(scored.orderBy(F.col("Time").desc(), F.col("id").desc()).limit(k), scored)
+
+
+def table_head(scored: DataFrame, n: int) -> DataFrame:
+    """:func:`first_n` of scored rows without ids: the first ``n`` in stream order."""
+    few = scored.orderBy("Time", "id").limit(n)
+    rows = few.collect()
+    return scored.sparkSession.createDataFrame([(*r, "TX_%06d" % (p + 1)) for p, r in enumerate(rows)], few.schema.add("tx_id", "string"))

@@ -85,6 +85,32 @@ def with_positions(
     return out.drop("_rid", "_pid", "_opid", "_first", "_off", *[f"_og_{g}" for g in groups])
 
 
+def positions_of(df: DataFrame, by: str, tie: str, keys: Sequence[tuple]) -> list[int]:
+    """0-based positions of some (by, tie) keys in the order of ``df`` by these columns, without numbering or sorting it.
+
+    A key's position is the number of rows before it.  The keys' values of ``by`` (a number) cut it into ranges; every
+    row finds its range by bisection and the rows are counted per range, so (keys + 1) counts reach the driver.  Rows
+    that share a key's ``by`` are counted by ``tie``.  Meant for the few rows of a report; keys hold no null.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    if not keys:
+        return []
+    spark = df.sparkSession
+    cuts = sorted({float(k[0]) for k in keys})
+    narrow = df.select(F.col(by).cast("double").alias("_by"), F.col(tie).alias("_tie"))
+    ranges = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_by", outputCol="_range")
+    counts = {int(r[0]): r[1] for r in ranges.transform(narrow.select("_by")).groupBy("_range").count().collect()}
+    before, seen = {}, 0
+    for i, cut in enumerate(cuts):  # range i holds the rows from cut i - 1 on and below cut i
+        seen += counts.get(i, 0)
+        before[cut] = seen
+    asked = spark.createDataFrame([(i, float(k[0]), k[1]) for i, k in enumerate(keys)], f"_key int, _at double, _with {dict(df.dtypes)[tie]}")
+    same = narrow.filter(F.col("_by").isin(cuts)).join(F.broadcast(asked), F.col("_by") == F.col("_at"))  # one row a key
+    ties = dict(same.filter(F.col("_tie") < F.col("_with")).groupBy("_key").count().collect())
+    return [before[float(k[0])] + ties.get(i, 0) for i, k in enumerate(keys)]
+
+
 def with_content_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Add a text id made of the row's content and a number among equal rows.
 

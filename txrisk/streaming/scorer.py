@@ -11,15 +11,17 @@ Each micro-batch (``foreachBatch``):
   batches) ∪ (this batch) with the block/halo plan, and the per-row features
   from the frozen training statistics;
 * scores with the model and writes the log rows (without the alert struct)
-  to ``log_dir/log_date=<day>/batch_id=<n>`` -- overwriting that folder, so a
-  replayed batch after a failure rewrites instead of duplicating; the day is
-  stored with the batch id, so this holds for a replay after midnight too;
-* fails if the state of the batch before is missing;
+  under a new attempt name, then commits the attempt: a replayed batch replaces
+  its earlier attempt instead of duplicating it, and a reader meanwhile sees the
+  one or the other; the day is stored with the batch id, so this holds for a
+  replay after midnight too;
+* fails if the state of the batch before is missing or was not written to its end;
 * stores its tail (99 rows + row total) and the running totals under
   ``state_dir/.../batch_id=<n>``, keyed by batch id for the same reason.
 
 Running totals are constant-size: one row merged per batch.  The same totals
-as a pure streaming aggregation over a log folder are in :func:`running_totals_stream`.
+as a pure streaming aggregation over a log folder are in :func:`running_totals_stream`;
+with the last predictions, on the state store, in :mod:`txrisk.streaming.running`.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from txrisk.operators.features import row_features
 from txrisk.operators.ordering import rolling_over_positions, with_positions
 from txrisk.operators.stats import FeatureStats
 from txrisk.plans.models import probability_of_fraud
-from txrisk.schema import DEFAULT_THRESHOLD, PREDICTION_LOG_SCHEMA, RISK_LEVELS, ROLLING_ROWS
-from txrisk.sources.artifacts import _exists
+from txrisk.schema import DEFAULT_THRESHOLD, RISK_LEVELS, ROLLING_ROWS
+from txrisk.sources.artifacts import _exists, listed, write_log_batch
 
 TOTALS_SCHEMA = "total_processed long, fraud_detected long, score_sum double, n_safe long, n_suspicious long, n_fraud long"
 
@@ -84,7 +86,7 @@ class StreamScorer:
 
     def _read_state(self, kind: str, batch_id: int, schema: str) -> DataFrame | None:
         path = self._state(kind, batch_id)
-        return self.spark.read.schema(schema).parquet(path) if _exists(self.spark, path) else None
+        return self.spark.read.schema(schema).parquet(path) if _exists(self.spark, f"{path}/_SUCCESS") else None
 
     def _batch_day(self, batch_id: int) -> str:
         """The log day of a batch, stored before its first write, so that a replay on a later day rewrites the same folder."""
@@ -137,9 +139,7 @@ class StreamScorer:
             "Amount",
         ).persist()
         day = self._batch_day(batch_id)
-        log.select(*[f.name for f in PREDICTION_LOG_SCHEMA.fields]).write.mode("overwrite").json(
-            f"{self.log_dir}/log_date={day}/batch_id={batch_id}"
-        )
+        write_log_batch(log, self.log_dir, day, batch_id)
 
         # state for the next batch: last rows-1 positions and merged totals (both keyed by this batch id)
         keep_from = log.agg(F.max("_pos")).first()[0]
@@ -174,10 +174,10 @@ class StreamScorer:
         """Running totals after ``batch_id`` (default: the latest stored)."""
         if batch_id is None:
             base = f"{self.state_dir}/totals"
-            if not _exists(self.spark, base):
+            ids = sorted((int(i) for i in listed(self.spark, base, "batch_id=")), reverse=True)
+            batch_id = next((i for i in ids if _exists(self.spark, f"{base}/batch_id={i}/_SUCCESS")), None)
+            if batch_id is None:
                 return finish_totals(self.spark.createDataFrame([(0, 0, 0.0, 0, 0, 0)], TOTALS_SCHEMA), self.current_threshold())
-            ids = self.spark.read.parquet(base).select("batch_id").distinct().agg(F.max("batch_id")).first()[0]
-            batch_id = ids
         t = self._read_state("totals", batch_id, TOTALS_SCHEMA)
         return finish_totals(t, self.current_threshold())
 
