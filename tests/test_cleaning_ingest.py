@@ -185,3 +185,27 @@ def test_time_does_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert a == b
+
+
+def test_first_rows_are_the_same_on_any_number_of_splits(spark, tmpdir_fresh):
+    import os
+
+    folder = f"{tmpdir_fresh}/in"
+    os.makedirs(folder)
+    lines = []
+    for k, n in enumerate([3, 0, 400, 250, 1, 500]):
+        own = [f"{len(lines) + i},{'x' * ((len(lines) + i) % 23)}" for i in range(n)]
+        lines += own
+        with open(f"{folder}/part {k}.csv", "w") as f:
+            f.write("\n".join(["id,v", *own]) + "\n")
+    want = [int(x.split(",")[0]) for x in lines]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for n in (0, 1, 3, 4, 150, 403, 404, 700, 1153, 1154, 5000):
+                got = ingest.first_rows(spark, folder, n).select("id", "v").collect()
+                assert sorted(int(r.id) for r in got) == want[:n]
+                assert all((r.v or "") == "x" * (int(r.id) % 23) for r in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

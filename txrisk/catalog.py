@@ -952,6 +952,19 @@ def q_csv_ingest(spark, sf_dir):
     return cleaning.clean(back).select("id", "Class", "Time", "Amount", *V_COLUMNS)
 
 
+@register(
+    "csv_first_rows",
+    O.with_tx("\nSELECT id, Class, Time, Amount FROM tx ORDER BY id LIMIT 777"),
+)
+def q_csv_first_rows(spark, sf_dir):
+    """The first 777 lines of transactions written in order of id to four CSV files."""
+    from txrisk.sources import ingest
+
+    path = _scratch(spark, "csv-first")
+    tables.transactions(spark, sf_dir).repartitionByRange(4, "id").sortWithinPartitions("id").write.option("header", True).csv(path)
+    return ingest.read_transactions_csv(spark, path, limit=777).select("id", "Class", "Time", "Amount")
+
+
 # ---------------------------------------------------------------------------
 # Trained models: scoring, evaluation, importance, explanations, stream (rows-only: M1-M10, ST1-ST6)
 # ---------------------------------------------------------------------------

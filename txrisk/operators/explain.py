@@ -104,15 +104,15 @@ def explain_local(
     noise = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: normal(seed, F.col(id_col), F.col("_k"), i) * F.col("_scale"))
     draws = draws.withColumn("_e", noise)
     moved = draws.select(
-        id_col, "_p0", "_e", *[(F.col("_x")[i] + F.col("_e")[i]).alias(f) for i, f in enumerate(feats)]
+        id_col, "_x", "_p0", "_e", *[(F.col("_x")[i] + F.col("_e")[i]).alias(f) for i, f in enumerate(feats)]
     )
     scored = probability_of_fraud(model.transform(moved), "_p").withColumn("_dp", F.col("_p") - F.col("_p0"))
     aggs = []
     for i in range(d):
         e = F.col("_e")[i]
         aggs.append(F.when(F.stddev_pop(e) > MIN_STD, correlation(e, F.col("_dp"))).otherwise(F.lit(0.0)).alias(f"_c{i}"))
-    contrib = scored.groupBy(id_col).agg(*aggs)
-    j = contrib.join(base.select(id_col, "_x", "_p0"), id_col)
+    # the row's own values and probability travel along: no second model pass, no join
+    j = scored.groupBy(id_col).agg(F.first("_x").alias("_x"), F.first("_p0").alias("_p0"), *aggs)
     entries = F.array(
         *[
             F.struct(

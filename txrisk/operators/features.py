@@ -87,10 +87,3 @@ def feature_columns() -> list[str]:
 
 def engineered_columns() -> list[str]:
     return list(ENGINEERED_COLUMNS)
-
-
-def display_names(spark) -> DataFrame:
-    """38-row lookup ``feature, display_name`` (broadcast-joinable)."""
-    from txrisk.schema import display_name
-
-    return spark.createDataFrame([(f, display_name(f)) for f in FEATURE_COLUMNS], "feature string, display_name string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,40 @@ def validate_columns(columns, expected=EXPECTED_COLUMNS) -> None:
         raise SchemaError(f"the header lacks {missing}")
 
 
+def _csv(spark: SparkSession, path) -> DataFrame:
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
+
+
+def first_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` lines of the files in order of their paths, as strings: the same on any number of splits.
+
+    Lines are counted per split, for one file, then two more, four more and so on until there are enough, so later files
+    are not read.  The result is whole files, the whole splits of the next file, and the first lines of one split;
+    only that split is put in order.
+    """
+    raw = _csv(spark, path)
+    plain = lambda f: re.sub(r"^(\w+):/+", r"\1:/", unquote(f))  # noqa: E731  the listing and the rows write file:/ differently
+    files = sorted(unquote(f) for f in raw.inputFiles())
+    number = {plain(f): i for i, f in enumerate(files)}
+    taken, at, step, cut = 0, 0, 1, None
+    while at < len(files) and cut is None:
+        place = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")]
+        counts = _csv(spark, files[at : at + step]).select(*place).groupBy("f", "b").count().collect()  # one row a split
+        for f, b, c in sorted((number[plain(r["f"])], r["b"], r["count"]) for r in counts):
+            if taken + c >= n:
+                cut = (f, b, n - taken)
+                break
+            taken += c
+        at, step = at + step, 2 * step
+    if cut is None:
+        return raw
+    i, block, left = cut
+    own = _csv(spark, [files[i]]).withColumns({"_b": F.col("_metadata.file_block_start"), "_r": F.monotonically_increasing_id()})
+    edge = own.filter(F.col("_b") == block).orderBy("_r").limit(left)
+    parts = [own.filter(F.col("_b") < block), edge]
+    return union_all([*([_csv(spark, files[:i])] if i else []), *[p.drop("_b", "_r") for p in parts]])
+
+
 def read_transactions_csv(spark: SparkSession, path: str, limit: int | None = None, id_col: str | None = "id") -> DataFrame:
     """Read a header CSV (one file, a folder or a glob) into the canonical typed layout.
 
@@ -27,12 +64,12 @@ def read_transactions_csv(spark: SparkSession, path: str, limit: int | None = No
     on CSV would bind by position and silently swap shuffled columns.  Extra
     columns are dropped, order is canonicalised; values that do not parse
     become NULL (cleaned later), a non-integer label becomes NULL and is
-    dropped by the label filter.  ``limit`` reads only the first n rows.
+    dropped by the label filter.  ``limit`` reads only the first n lines.
     Ids of the file are BIGINT if all are whole numbers, else text; null or
     repeated ids are an error.  Without ids, text ids are made from the content
     of the rows, so they depend neither on splits nor on the cluster.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
+    raw = _csv(spark, path) if limit is None else first_rows(spark, path, limit)
     validate_columns(raw.columns)
     cols = []
     for c in EXPECTED_COLUMNS:
@@ -44,8 +81,6 @@ def read_transactions_csv(spark: SparkSession, path: str, limit: int | None = No
     if has_ids:
         cols.insert(0, F.col(id_col))
     df = raw.select(*cols)
-    if limit is not None:
-        df = df.limit(limit)
     if has_ids:
         whole = _check_ids(raw, id_col)
         return df.withColumn(id_col, F.col(id_col).cast("bigint")) if whole else df
