@@ -125,3 +125,36 @@ def test_search_draws_are_distinct(spark):
     for est, grid, n in ((M.random_forest(None), M.RF_GRID, 10), (M.gradient_boosting(), M.GB_GRID, 6)):
         maps = [tuple(sorted((p.name, v) for p, v in m.items())) for m in M.draw_param_maps(est, grid, n)]
         assert len(set(maps)) == n
+
+
+def test_evaluators_rate_many_models_in_one_pass(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    rows = [(name, i % 3 == 0, ((i * 37 + k * 11) % 10) / 10.0) for k, name in enumerate("abc") for i in range(60)]
+    long = spark.createDataFrame([(m, int(y), p, float(p > 0.5)) for m, y, p in rows] + [("none", 0, 0.1, 0.0)], "model string, label int, p double, prediction double")
+    f1 = {r.model: r.value for r in M.f1_of_fraud().by_model(long).collect()}
+    ap = {r.model: r.value for r in M.AveragePrecisionEvaluator().by_model(long).collect()}
+    assert f1.pop("none") == 0.0 and not ap.pop("none")
+    own = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0)
+    for name in "abc":
+        part = long.filter(F.col("model") == name).withColumn("label", F.col("label").cast("double"))
+        assert f1[name] == pytest.approx(own.evaluate(part))
+        assert ap[name] == pytest.approx({r.model: r.value for r in M.AveragePrecisionEvaluator().by_model(part).collect()}[name])
+
+
+def test_a_search_makes_one_evaluation_a_fold(spark, trained):
+    from txrisk.operators import sampling
+
+    class Counting(M.AveragePrecisionEvaluator):
+        passes = 0
+
+        def by_model(self, pred):
+            Counting.passes += 1
+            assert pred.select("model").distinct().count() == 3
+            return super().by_model(pred)
+
+    _, feats, _, _ = trained
+    train = sampling.stratified_folds(feats.select("id", "Class", *FEATURE_COLUMNS), 3)
+    grid = {"maxIter": [1, 2, 3]}
+    best = M.tune(M.gradient_boosting(max_iter=2, max_depth=2), grid, 3, Counting(), train)
+    assert Counting.passes == 3 and best.transform(train.withColumn("label", F.col("Class").cast("double"))).count() == train.count()

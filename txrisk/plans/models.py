@@ -10,13 +10,15 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,22 +129,50 @@ def predictions_long(models: dict[str, PipelineModel], test: DataFrame, id_col:
     return out
 
 
-class AveragePrecisionEvaluator(Evaluator):
-    """Average precision (sum of (R_n - R_{n-1}) * P_n), computed by the exact metric operators."""
+class ByModelEvaluator(Evaluator):
+    """An evaluator that rates many models in one pass over ``model, label, p, prediction`` rows.
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        from txrisk.operators.metrics import auc_ap
+    :meth:`by_model` gives ``model, value``; rating one model is the same with one name.
+    """
 
-        pred = probability_of_fraud(dataset).select(F.lit("m").alias("model"), F.col("label").cast("int").alias("label"), F.col("fraud_probability").alias("p"))
-        row = auc_ap(pred).first()
-        return float(row["pr_auc"] or 0.0)
+    def by_model(self, pred: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        row = self.by_model(rated(dataset, "m")).first()
+        return float(row["value"] or 0.0) if row is not None else 0.0
 
     def isLargerBetter(self) -> bool:
         return True
 
 
-def f1_of_fraud() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0)
+class AveragePrecisionEvaluator(ByModelEvaluator):
+    """Average precision (sum of (R_n - R_{n-1}) * P_n), computed by the exact metric operators."""
+
+    def by_model(self, pred: DataFrame) -> DataFrame:
+        from txrisk.operators.metrics import auc_ap
+
+        return auc_ap(pred).select("model", F.col("pr_auc").alias("value"))
+
+
+class FraudF1Evaluator(ByModelEvaluator):
+    """F1 of the fraud class; 0 where there is neither a fraud row nor a prediction of one."""
+
+    def by_model(self, pred: DataFrame) -> DataFrame:
+        real, said = F.col("label") == 1, F.col("prediction") == 1
+        out = pred.groupBy("model").agg(F.count_if(real & said).alias("tp"), F.count_if(real).alias("real"), F.count_if(said).alias("said"))
+        return out.select("model", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("real") + F.col("said")), F.lit(0.0)).alias("value"))
+
+
+def f1_of_fraud() -> FraudF1Evaluator:
+    return FraudF1Evaluator()
+
+
+def rated(scored: DataFrame, name: str) -> DataFrame:
+    """``model, label, p, prediction`` of one model's output."""
+    return probability_of_fraud(scored).select(
+        F.lit(name).alias("model"), F.col("label").cast("int").alias("label"), F.col("fraud_probability").alias("p"), "prediction"
+    )
 
 
 # Published search spaces (fixed values).
@@ -172,20 +202,28 @@ def draw_param_maps(estimator, grid: dict, n_iter: int, seed: int = 42) -> list[
     return [{estimator.getParam(k): v for k, v in zip(names, p, strict=True)} for p in drawn]
 
 
-def tune(estimator, grid: dict, n_iter: int, evaluator: Evaluator, train: DataFrame, fold_col: str = "fold", parallelism: int = 4, seed: int = 42,
+def tune(estimator, grid: dict, n_iter: int, evaluator: ByModelEvaluator, train: DataFrame, fold_col: str = "fold", parallelism: int = 4, seed: int = 42,
          feature_cols: Sequence[str] = FEATURE_COLUMNS) -> PipelineModel:
-    """Randomised search with stratified folds (``fold_col``); refits the best map on all rows."""
+    """Randomised search with stratified folds (``fold_col``); refits the best map (the first of equals) on all rows.
+
+    For each fold all candidates are fitted, ``parallelism`` at a time, and rated together: their predictions on the
+    fold are one long table and one pass of the evaluator, so a search costs as many evaluations as there are folds.
+    """
     assembled = assembler(feature_cols).transform(with_label(train))
-    cv = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=draw_param_maps(estimator, grid, n_iter, seed),
-        evaluator=evaluator,
-        foldCol=fold_col,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    best = cv.fit(assembled).bestModel
-    return PipelineModel(stages=[assembler(feature_cols), best])
+    maps = draw_param_maps(estimator, grid, n_iter, seed)
+    total, folds = [0.0] * len(maps), sorted(r[0] for r in assembled.select(fold_col).distinct().collect())
+    for fold in folds:
+        own = assembled.filter(F.col(fold_col) != fold).cache()
+        fits = estimator.fitMultiple(own, maps)
+        with ThreadPool(min(parallelism, len(maps))) as pool:
+            models = dict(pool.map(inheritable_thread_target(train.sparkSession)(lambda _: next(fits)), range(len(maps))))
+        held = assembled.filter(F.col(fold_col) == fold)
+        long = reduce(DataFrame.unionByName, [rated(models[i].transform(held), str(i)) for i in range(len(maps))])
+        for r in evaluator.by_model(long).collect():  # one row a candidate
+            total[int(r["model"])] += float(r["value"] or 0.0) / len(folds)
+        own.unpersist()
+    best = max(range(len(maps)), key=lambda i: (total[i] if evaluator.isLargerBetter() else -total[i], -i))
+    return PipelineModel(stages=[assembler(feature_cols), estimator.copy(maps[best]).fit(assembled)])
 
 
 def importance_vector(model: PipelineModel) -> list[float]:
