@@ -16,6 +16,7 @@ from txrisk import oracle as O
 from txrisk.functions import risk as R
 from txrisk.functions.hashing import draw, sql_draw, sql_uniform
 from txrisk.operators import cleaning, eda, features, metrics, moments, ordering, stats
+from txrisk.schema import ALERT_METADATA
 from txrisk.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,6 +219,57 @@ def q_clean(spark, sf_dir):
     return rounded(cleaning.clean(tx))
 
 
+def dirty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with null, NaN and infinite cells and invalid labels, placed by id."""
+    every = lambda n: F.col("id") % n == 0
+    tx = tables.transactions(spark, sf_dir).select("id", "Class", "Time", "Amount", "V1", "V2", "V3")
+    amount = F.when(every(11), F.lit(float("nan"))).when(every(13), F.lit(float("inf"))).when(~every(17), F.col("Amount"))
+    label = F.when(every(19), F.lit(2)).when(every(29), F.lit(-1)).when(~every(23), F.col("Class"))
+    return tx.withColumns({"Amount": amount, "V1": F.when(~every(5), F.col("V1")), "V2": F.when(every(7), F.lit(float("-inf"))).otherwise(F.col("V2")), "Class": label})
+
+
+# the same cells with null for every value that is not finite
+_DIRTY_CTE = """
+, d AS (
+  SELECT id, Time, V3,
+         CASE WHEN id % 11 = 0 OR id % 13 = 0 OR id % 17 = 0 THEN NULL ELSE Amount END AS Amount,
+         CASE WHEN id % 5 = 0 THEN NULL ELSE V1 END AS V1, CASE WHEN id % 7 = 0 THEN NULL ELSE V2 END AS V2,
+         CASE WHEN id % 19 = 0 THEN 2 WHEN id % 29 = 0 THEN -1 WHEN id % 23 = 0 THEN NULL ELSE Class END AS Class
+  FROM tx
+)"""
+
+
+@register(
+    "clean_dirty_transactions",
+    O.with_tx(
+        _DIRTY_CTE
+        + f""",
+v AS (SELECT * FROM d WHERE Class IN (0, 1)),
+m AS (SELECT quantile_cont(Amount, 0.5) AS a, quantile_cont(V1, 0.5) AS b, quantile_cont(V2, 0.5) AS c FROM v)
+SELECT id, Class, {r6('Time')} AS Time, {r6('coalesce(Amount, a)')} AS Amount, {r6('coalesce(V1, b)')} AS V1, {r6('coalesce(V2, c)')} AS V2, {r6('V3')} AS V3
+FROM v, m"""
+    ).replace("\n, d AS", ",\nd AS"),
+)
+def q_clean_dirty(spark, sf_dir):
+    # non-finite cells, then invalid labels, then medians of the rows that are left
+    return rounded(cleaning.clean(dirty_transactions(spark, sf_dir)))
+
+
+@register(
+    "records_missing_as_zero",
+    O.with_tx(
+        _DIRTY_CTE
+        + f"""
+SELECT id, {r6('coalesce(V1, 0.0)')} AS V1, {r6('coalesce(V2, 0.0)')} AS V2, CAST(0.0 AS DOUBLE) AS V3, CAST(0.0 AS DOUBLE) AS tx_velocity FROM d"""
+    ).replace("\n, d AS", ",\nd AS"),
+)
+def q_missing_as_zero(spark, sf_dir):
+    # records with null cells, without V3 and without a rolling feature
+    recs = cleaning.nonfinite_to_null(dirty_transactions(spark, sf_dir)).drop("V3")
+    full = cleaning.fill_missing_columns(cleaning.null_to_zero(recs, ["V1", "V2"]), ["V1", "V2", "V3", "tx_velocity"])
+    return rounded(full.select("id", "V1", "V2", "V3", "tx_velocity"))
+
+
 _FEAT_CTES = """
 , s AS (
   SELECT quantile_cont(Amount, 0.5) AS med,
@@ -513,6 +565,32 @@ def q_risk_scoring_clamped(spark, sf_dir):
     return rounded(s.select("tx_id", "fraud_probability", "fraud_score", "risk_level", "decision", "threshold_used"))
 
 
+def _metadata_sql(index: int) -> str:
+    cases = " ".join("WHEN '{}' THEN '{}'".format(level, str(v[index]).replace("'", "''")) for level, v in ALERT_METADATA.items())
+    return f"CASE risk_level {cases} END"
+
+
+@register(
+    "risk_scoring_five_decimals",
+    O.with_tx(
+        f"""
+, k AS (SELECT id, id * 7919 % 100001 AS k FROM tx),
+p AS (SELECT id, CASE WHEN k % 100 = 50 THEN k + 1 ELSE k END AS k FROM k),
+s AS (SELECT id, k / 100000.0::DOUBLE AS p, ((k + 50) // 100) / 10.0::DOUBLE AS fraud_score FROM p),
+r AS (SELECT *, CASE WHEN fraud_score < 30 THEN 'SAFE' WHEN fraud_score < 70 THEN 'SUSPICIOUS' ELSE 'FRAUD' END AS risk_level FROM s)
+SELECT id, fraud_score, risk_level, CASE WHEN p >= 0.65::DOUBLE THEN 'BLOCK' ELSE {_metadata_sql(3)} END AS decision,
+       {_metadata_sql(0)} AS color, {_metadata_sql(1)} AS icon, {_metadata_sql(2)} AS description, {_metadata_sql(3)} AS action
+FROM r"""
+    ),
+)
+def q_risk_five_decimals(spark, sf_dir):
+    # probabilities that the one-decimal score rounds (no exact halves, which are not the same in doubles), all alert fields
+    k = F.col("id") * 7919 % 100001
+    p = F.when(k % 100 == 50, k + 1).otherwise(k) / F.lit(100000.0)
+    s = alerts.score(tables.transactions(spark, sf_dir).select("id", p.alias("fraud_probability")), threshold=0.65, with_alert=True)
+    return s.select("id", "fraud_score", "risk_level", "decision", "alert.color", "alert.icon", "alert.description", "alert.action")
+
+
 @register(
     "running_stats",
     O.with_tx(
