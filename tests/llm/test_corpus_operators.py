@@ -269,8 +269,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = [*corpus(9), "x <|endoftext|> y", "日本語 \u00a0 \U0001f600 it's  9,000\n\n\t"]
+    texts = [*corpus(9), "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b <|endoftext|", "<|startoftext|> \n<|endoftext|>\n\n c", "日本語 \u00a0 \U0001f600 it's  9,000\n\n\t"]
     rows = packing.pack(frame(spark, texts)).collect()
     bins = collections.defaultdict(list)
     for i, t in enumerate(texts):

@@ -13,8 +13,8 @@ Ids come from the given byte-level BPE file.  The file's vocabulary (a token's r
 into the faster of the two installed BPE libraries; tests compare the ids with the file's own library.
 
 Defined cases: null or empty text has only the end id; repeated or null doc_ids give pieces for every
-input row; an empty table gives no rows; other columns are ignored.  Special-token strings in a text are
-ordinary text.
+input row; an empty table gives no rows; other columns are ignored.  The string of an added token of the file in a
+text is that token, as the file's own library has it by default.
 """
 
 from __future__ import annotations
@@ -37,7 +37,10 @@ END_ID = 0
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A byte-level BPE encoder with the ids of a tokenizers JSON file."""
+    """A byte-level BPE encoder with the ids of a tokenizers JSON file.
+
+    ``encode_ordinary`` takes the strings of added tokens as text, ``encode`` with all special tokens allowed as tokens.
+    """
     import public_tokenizers
     import tiktoken
 
@@ -46,9 +49,9 @@ def encoder(path: str):
     # the byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for code points from 256
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(to_byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def default_tokenizer() -> str:
@@ -77,7 +80,7 @@ def _tokenise(path: str, capacity: int):
         for b in batches:
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for r, t in enumerate(texts(b)):
-                ids = np.array([*enc.encode_ordinary(t.decode("utf-8", "replace")), END_ID], "<u4")
+                ids = np.array([*enc.encode(t.decode("utf-8", "replace"), allowed_special="all"), END_ID], "<u4")
                 for k, (s, n) in enumerate(cut(len(ids), capacity)):
                     row.append(r)
                     piece.append(k)
