@@ -119,14 +119,14 @@ def _anchors(length: int, size: int):
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per segment to compare; its bytes go along the first time this task meets them."""
-    seen: set[tuple[int, int]] = set()
+    seen: set[int] = set()
     for b in batches:
         rows, hs, gs, starts, lefts, body, size = [], [], [], [], [], [], 0
-        for r, (t, own) in enumerate(zip(texts(b), b.column("own").to_pylist(), strict=True)):
-            for s in own:
+        for r, (t, own) in enumerate(zip(texts(b), b.column("own"), strict=True)):
+            for s in own.as_py():
                 part = t[s["start"] : s["start"] + s["n"]]
                 g = xxhash.xxh3_64_intdigest(part, seed=s["left_n"]) - (1 << 63)
-                key = (s["h"], g)
+                key = (s["h"] * 0x9E3779B97F4A7C15 ^ g) & (1 << 64) - 1
                 rows.append(r)
                 hs.append(s["h"])
                 gs.append(g)
@@ -135,9 +135,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 body.append(None if key in seen else part)
                 size += 0 if key in seen else len(part)
                 seen.add(key)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:  # only saves sending the same bytes again
                 seen.clear()
-            if size > 32 << 20 or r + 1 == b.num_rows:
+            if size > 8 << 20 or r + 1 == b.num_rows:
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("k1").take(at), b.column("k2").take(at), pa.array(hs, pa.int64()), pa.array(gs, pa.int64()), pa.array(starts, pa.int64()), pa.array(lefts, pa.int32()), pa.array(body, pa.binary())], ["k1", "k2", "h", "g", "start", "left_n", "body"])
                 rows, hs, gs, starts, lefts, body, size = [], [], [], [], [], [], 0
@@ -199,21 +199,29 @@ def _compare(length: int, batch_segments: int):
 
     def finish(rows: list[dict]) -> pa.RecordBatch:
         mask = repeated_windows([r["body"] for r in rows], np.array([r["left_n"] for r in rows]), np.array([r["n"] for r in rows]), length)
-        ranges, fps, places, sent = [], [], [], set()
-        for r, m in zip(rows, mask, strict=True):
+        none = np.zeros(0, np.int64)
+        ranges, fps, places, owner, matched = [], [none], [none], [none], [np.zeros(0, bool)]
+        for k, (r, m) in enumerate(zip(rows, mask, strict=True)):
             own = m[: len(r["body"]) - length + 1]
             s, e = runs(own)
             ranges.append(np.stack([s, e], 1).ravel())
-            fps.append([])
-            places.append([])
-            for i in range(len(own)) if r["splits"] > 1 else ():
-                fp = xxhash.xxh3_64_intdigest(r["body"][i : i + length], seed=r["left_n"] - i + (1 << 20)) - (1 << 63)
-                if not own[i] or (r["h"], fp) not in sent:  # of windows matched here one stands for all
-                    fps[-1].append(fp)
-                    places[-1].append(i)
-                    sent.add((r["h"], fp))
-        cols = [pa.array([r["h"] for r in rows], pa.int64()), pa.array([r["g"] for r in rows], pa.int64())]
-        cols += [pa.array(v, pa.list_(pa.int64())) for v in (ranges, fps, places)]
+            if r["splits"] > 1:
+                body, seed = r["body"], r["left_n"] + (1 << 20)
+                fps.append(np.fromiter((xxhash.xxh3_64_intdigest(body[i : i + length], seed=seed - i) - (1 << 63) for i in range(len(own))), np.int64, len(own)))
+                places.append(np.arange(len(own)))
+                owner.append(np.full(len(own), k))
+                matched.append(own)
+        fp, place, row, match = (np.concatenate(v) for v in (fps, places, owner, matched))
+        if len(fp):  # of the windows matched here one stands for all
+            h = np.array([r["h"] for r in rows], np.int64)[row]
+            order = np.lexsort((np.arange(len(fp)), fp, h))
+            new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(fp[order]) != 0))
+            send = ~match
+            send[order[new]] = True
+            fp, place, row = fp[send], place[send], row[send]
+        cut = pa.array(np.searchsorted(row, np.arange(len(rows) + 1)), pa.int32())
+        cols = [pa.array([r["h"] for r in rows], pa.int64()), pa.array([r["g"] for r in rows], pa.int64()), pa.array(ranges, pa.list_(pa.int64()))]
+        cols += [pa.ListArray.from_arrays(cut, pa.array(v, pa.int64())) for v in (fp, place)]
         return pa.RecordBatch.from_arrays(cols, ["h", "g", "ranges", "fps", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,14 +266,14 @@ def remove_repeats(
     own = [c for c in keep if c != "text"]
     src = docs.select(*[F.col(c).alias(f"k_{c}") for c in own], F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), F.col("text").cast("string").alias("text"))
     lists = "k1 long, k2 long, h array<long>, start array<long>, n array<int>, left_n array<int>"
-    cuts = staged(src.select("k1", "k2", "text").mapInArrow(_anchors(length, anchor), lists), "anchors")
+    cuts = staged(src.select("k1", "k2", "text").mapInArrow(_anchors(length, anchor), lists), "anchors", batch_rows=512)
     # anchors found more than once, and their segments
     twice = cuts.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     twice = staged(twice, "twice")  # as a table of its own, so that the join can split the rows of a very common anchor
     every = cuts.select("k1", "k2", F.explode(F.arrays_zip("h", "start", "n", "left_n")).alias("s")).select("k1", "k2", "s.*")
     some = every.join(twice, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "start", "n", "left_n")).alias("own"))
     with_text = src.select("k1", "k2", "text").join(some, ["k1", "k2"]).select("k1", "k2", "text", "own")
-    found = staged(with_text.mapInArrow(_extract, "k1 long, k2 long, h long, g long, start long, left_n int, body binary"), "segments")
+    found = staged(with_text.mapInArrow(_extract, "k1 long, k2 long, h long, g long, start long, left_n int, body binary"), "segments", batch_rows=256)
     # different segments with their number of occurrences; an anchor with too many is split by the segment's hash
     kinds = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"))
     splits = kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_segments)).cast("int").alias("splits"))
@@ -273,7 +281,7 @@ def remove_repeats(
     ready = body.join(kinds, ["h", "g"]).join(splits, "h").withColumn("part", F.pmod("g", "splits").cast("int"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ready = ready.repartition(n, "h", "part").sortWithinPartitions("h", "part", "g").select("h", "g", "part", "left_n", "body", "n", "splits")
-    compared = staged(ready.mapInArrow(_compare(length, batch_segments), "h long, g long, ranges array<long>, fps array<long>, places array<long>"), "compared")
+    compared = staged(ready.mapInArrow(_compare(length, batch_segments), "h long, g long, ranges array<long>, fps array<long>, places array<long>"), "compared", batch_rows=1024)
     # windows of split anchors that match a window in another part (a part sends a window that repeats within it once)
     open_ = compared.filter(F.size("fps") > 0).select("h", "g", F.explode(F.arrays_zip("fps", "places")).alias("w")).select("h", "g", "w.fps", "w.places")
     met = open_.groupBy("h", "fps").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "fps")
