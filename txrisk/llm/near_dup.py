@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from txrisk.llm.common import multiply_mod_hash, staged, texts
 
 SHINGLE = 4
+KNOWN_WORDS = 100_000  # words whose hashes a task remembers
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -98,7 +99,7 @@ def _signatures(shingle: int, bands: int, rows: int, bits: int, seed: int):
             for t in texts(batch):
                 h = shingle_hashes(t, shingle, known)
                 n.append(len(h))
-                if len(known) > 500_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 if not len(h):
                     key.append(None)
@@ -122,6 +123,8 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
+            if len(known) > KNOWN_WORDS:
+                known.clear()
             sets = [shingle_hashes(t, shingle, known).view(np.int64) for t in texts(batch)]
             if len(known) > 500_000:
                 known.clear()
@@ -241,7 +244,7 @@ def decisions(
     """
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
     id_type = dict(src.dtypes)["doc_id"]
-    sig = staged(src.mapInArrow(_signatures(shingle, bands, rows, bits, seed), f"doc_id {id_type}, text_key binary, n_shingles long, set_key binary, sig binary, bands array<long>"), "signatures")
+    sig = staged(src.mapInArrow(_signatures(shingle, bands, rows, bits, seed), f"doc_id {id_type}, text_key binary, n_shingles long, set_key binary, sig binary, bands array<long>"), "signatures", batch_rows=512)
     # classes of equal sets: the signature of any member is the signature of all
     full = sig.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     cls = full.groupBy(F.col("set_key").alias("id")).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
