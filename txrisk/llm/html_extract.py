@@ -39,6 +39,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 _WALLS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "nav", "aside", "form"}
 
 
+#: Padded (step, page) places of a batch of pages.
+CELLS = 1 << 14
+
+
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of the leaf blocks in page order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -167,7 +171,8 @@ class Labeller:
         page = np.repeat(np.arange(len(g.sizes)), g.sizes)
         return np.arange(len(page)) - np.repeat(np.cumsum(g.sizes) - g.sizes, g.sizes), page
 
-    def _run(self, x: np.ndarray, live: np.ndarray, way: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, live: np.ndarray, way: str, keep: bool) -> tuple[np.ndarray, list]:
+        """Outputs of one direction; with ``keep`` also what training needs of every step."""
         steps = range(len(x)) if way == "f" else range(len(x) - 1, -1, -1)
         h = c = np.zeros((x.shape[1], HIDDEN))
         out, tape = np.zeros((*x.shape[:2], HIDDEN)), []
@@ -180,7 +185,8 @@ class Labeller:
             new_c = np.where(m, f * c + i * g, c)
             tanh = np.tanh(new_c)
             new_h = np.where(m, o * tanh, h)
-            tape.append((t, z_in, f, i, o, g, c, tanh, m))
+            if keep:
+                tape.append((t, z_in, f, i, o, g, c, tanh, m))
             c, h = new_c, new_h
             out[t] = h
         return out, tape
@@ -191,8 +197,8 @@ class Labeller:
         x[t, page] = self.inputs(g)
         live = np.zeros(x.shape[:2], bool)
         live[t, page] = True
-        hf, tf = self._run(x, live, "f")
-        hb, tb = self._run(x, live, "b")
+        hf, tf = self._run(x, live, "f", tape)
+        hb, tb = self._run(x, live, "b", tape)
         h = np.concatenate((hf, hb), 2)[t, page]
         z = h @ self.p["out"] + self.p["off"]
         return (z, h, x, t, page, tf, tb) if tape else z
@@ -246,8 +252,12 @@ class Labeller:
     def main_text(self, pages: list[list[tuple[tuple[str, ...], str, int]]]) -> list[str]:
         out = [""] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-        for s in range(0, len(order), 64):  # pages of like length share a batch
-            own = order[s : s + 64]
+        s = 0
+        while s < len(order):  # pages of like length share a batch, of at most 64 pages and CELLS padded places (one page at least)
+            e = s + 1
+            while e < min(s + 64, len(order)) and (e + 1 - s) * len(pages[order[e]]) <= CELLS:
+                e += 1
+            own, s = order[s:e], e
             take = self.logits(Pages([pages[i] for i in own])) > 0
             at = 0
             for i in own:
