@@ -22,6 +22,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,6 +66,35 @@ def subwords(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.minimum(np.concatenate(numbers), last)
 
 
+class Bags:
+    """The n-grams of many texts in one array, block after block: a block is a slice, and four bytes an n-gram are all."""
+
+    def __init__(self, samples: list[bytes], block: int):
+        grams, sizes, counts = array("i"), [], []
+        for t in samples:
+            b, w = subwords(t)
+            if not len(b):
+                counts.append(0)
+                continue
+            of = np.minimum(w // block, max(0, (int(w.max()) + 1) // block - 1))  # a short last block joins the one before
+            own = np.bincount(of)
+            grams.frombytes(b[np.argsort(of, kind="stable")].astype(np.int32).tobytes())
+            sizes.append(own)
+            counts.append(len(own))
+        self.grams = np.frombuffer(grams, np.int32) if len(grams) else np.zeros(0, np.int32)
+        self.cuts = np.concatenate([[0], *sizes]).cumsum()
+        self.first = np.concatenate(([0], np.cumsum(counts)))  # block number of a text's first block
+
+    def most_toxic(self, i: int, folded: np.ndarray) -> np.ndarray:
+        """The n-grams of the block of text i with the largest average weight; none of an empty text."""
+        a, e = self.first[i], self.first[i + 1]
+        if e - a > 1:
+            cut = self.cuts[a : e + 1]
+            total = np.add.reduceat(folded[self.grams[cut[0] : cut[-1]]], cut[:-1] - cut[0])
+            a += int(np.argmax(total / np.diff(cut)))
+        return self.grams[self.cuts[a] : self.cuts[a + 1]] if e > self.first[i] else self.grams[:0]
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # per bucket: embedding . (softmax column 1 - column 0)
@@ -79,7 +109,7 @@ def train(samples: list[tuple[bytes, int]], share: float, dim: int = 8, steps: i
     emb = np.zeros((n_buckets, dim), np.float32)  # an n-gram that training never meets adds nothing
     soft = r.normal(0, 0.3, (dim, 2)).astype(np.float32)
     off = np.zeros(2, np.float32)
-    bags = [subwords(t) for t, _ in samples]
+    bags = Bags([t for t, _ in samples], block)
     y = np.array([v for _, v in samples])
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, off)]
     step = 0
@@ -90,14 +120,9 @@ def train(samples: list[tuple[bytes, int]], share: float, dim: int = 8, steps: i
             rows = order[s : s + batch]
             parts, owner = [], []
             for k, i in enumerate(rows):
-                b, w = bags[i]
+                b = bags.most_toxic(i, folded)
                 if not len(b):
                     continue
-                block_of = w // block
-                if block_of.max():  # the block that the model finds most toxic
-                    block_of = np.minimum(block_of, max(0, (int(w.max()) + 1) // block - 1))
-                    total, count = np.bincount(block_of, folded[b]), np.bincount(block_of)
-                    b = b[block_of == int(np.argmax(total / np.maximum(count, 1)))]
                 parts.append(b)
                 owner.append(np.full(len(b), k))
             if not parts:
