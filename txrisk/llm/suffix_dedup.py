@@ -271,7 +271,7 @@ def remove_repeats(
     twice = cuts.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     twice = staged(twice, "twice")  # as a table of its own, so that the join can split the rows of a very common anchor
     every = cuts.select("k1", "k2", F.explode(F.arrays_zip("h", "start", "n", "left_n")).alias("s")).select("k1", "k2", "s.*")
-    some = every.join(twice, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "start", "n", "left_n")).alias("own"))
+    some = every.join(twice, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "start", "n", "left_n")).alias("own"))  # rows equal in id and text have one list
     with_text = src.select("k1", "k2", "text").join(some, ["k1", "k2"]).select("k1", "k2", "text", "own")
     found = staged(with_text.mapInArrow(_extract, "k1 long, k2 long, h long, g long, start long, left_n int, body binary"), "segments", batch_rows=256)
     # different segments with their number of occurrences; an anchor with too many is split by the segment's hash
