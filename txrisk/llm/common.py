@@ -25,17 +25,20 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/txrisk-llm/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, tag: str, batch_rows: int | None = None, spread: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
     The shuffle files of the written plan are of no more use, so Spark is asked to remove them with it.
-    ``batch_rows`` bounds the rows of an Arrow batch, for plans with large rows.
+    ``batch_rows`` bounds the rows of an Arrow batch, for plans with large rows.  ``spread`` keeps small shuffle
+    partitions apart, for plans whose work does not show in their bytes.
     """
     spark = df.sparkSession
     path = scratch(spark, tag)
     conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
     if batch_rows:
         conf["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    if spread:
+        conf["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
     before = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():

@@ -38,6 +38,7 @@ from txrisk.llm.common import multiply_mod_hash, staged, texts
 
 SHINGLE = 4
 KNOWN_WORDS = 100_000  # words whose hashes a task remembers
+CHUNK_ITEMS = 1 << 18  # shingles of a list of sets, one set at least
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -183,14 +184,39 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _chunks(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
-    """The classes (band, key, id) of each bucket with their sets, in lists of about ``size``."""
-    n = rows.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("chunks"))
+    """The classes (band, key, id) of each bucket with their sets, in lists of about ``size`` sets and CHUNK_ITEMS shingles."""
+    n = rows.join(sets.select("id", F.size("items").alias("n")), "id").groupBy("band", "key")
+    n = n.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(size)), F.ceil(F.sum("n") / F.lit(CHUNK_ITEMS))).alias("chunks"))
     dealt = rows.join(n, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).join(sets, "id")
     return dealt.groupBy("band", "key", "chunk").agg(F.collect_list(F.struct("id", "items")).alias("own")).select("band", "key", "own")
 
 
+def intersections(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets (their items one after another, and their sizes).
+
+    The shingles that both lists hold become columns, some at a time, of two 0/1 tables; the sizes are their product.
+    """
+    out = np.zeros((len(nx), len(ny)), np.int64)
+    both = np.intersect1d(x, y)
+    sides = []
+    for v, n in ((x, nx), (y, ny)):
+        at = np.minimum(np.searchsorted(both, v), max(0, len(both) - 1))
+        hit = np.flatnonzero(both[at] == v) if len(both) else at[:0]
+        order = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((at[order], np.repeat(np.arange(len(n)), n)[order], len(n)))
+    for c in range(0, len(both), 8192):
+        tables = []
+        for at, owner, n in sides:
+            a, b = np.searchsorted(at, [c, c + 8192])
+            t = np.zeros((n, min(8192, len(both) - c)), np.float32)
+            t[owner[a:b], at[a:b] - c] = 1
+            tables.append(t)
+        out += (tables[0] @ tables[1].T).astype(np.int64)  # at most 8,192, which a float holds exactly
+    return out
+
+
 def _links(num: int, den: int):
-    """Links that join the classes of two lists as all their links do, found on an index of the second list's shingles."""
+    """Links that join the classes of two lists as all their links do."""
 
     def parts(rows: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
         items = pc.struct_field(rows, "items")
@@ -202,8 +228,7 @@ def _links(num: int, den: int):
             for r in range(b.num_rows):
                 ids, nx, items = parts(b.column("xs")[r].values)
                 other, ny, values = parts(b.column("ys")[r].values)
-                order = np.argsort(values, kind="stable")
-                values, owner = values[order], np.repeat(np.arange(len(ny)), ny)[order]
+                inter = intersections(items, nx, values, ny)
                 root: dict = {}
 
                 def find(v):
@@ -212,18 +237,11 @@ def _links(num: int, den: int):
                     return v
 
                 out: list[tuple] = []
-                ends = np.cumsum(nx)
-                for k in range(len(nx)):
-                    own = items[ends[k] - nx[k] : ends[k]]
-                    low, many = np.searchsorted(values, own), np.searchsorted(values, own, "right")
-                    many -= low
-                    place = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-                    inter = np.bincount(owner[place], minlength=len(ny))
-                    for y in np.flatnonzero(inter * den >= (nx[k] + ny - inter) * num):
-                        u, v = find(ids[k]), find(other[y])
-                        if u != v:
-                            root[u] = v
-                            out.append((ids[k], other[y]))
+                for k, y in zip(*np.nonzero(inter * den >= (nx[:, None] + ny[None, :] - inter) * num), strict=True):
+                    u, v = find(ids[k]), find(other[y])
+                    if u != v:
+                        root[u] = v
+                        out.append((ids[k], other[y]))
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], kind), pa.array([v for _, v in out], kind)], ["a", "b"])
 
     return run
@@ -235,7 +253,7 @@ def text_key(text: str = "text") -> Column:
 
 
 def decisions(
-    docs: DataFrame, shingle: int = SHINGLE, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, bits: int = 4, margin: float = 0.25, small: int = 24, hubs: int = 2, chunk: int = 64, seed: int = 11
+    docs: DataFrame, shingle: int = SHINGLE, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, bits: int = 4, margin: float = 0.25, small: int = 24, hubs: int = 2, chunk: int = 512, seed: int = 11
 ) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept, shows for every row.
 
@@ -286,7 +304,7 @@ def decisions(
                 whole = part.select("band", "key", "id").join(outside.select("band", "key").distinct(), ["band", "key"], "left_semi")
                 xs, ys = _chunks(outside, sets, chunk).withColumnRenamed("own", "xs"), _chunks(whole, sets, chunk).withColumnRenamed("own", "ys")
                 found = xs.join(ys, ["band", "key"]).select("xs", "ys").mapInArrow(_links(num, den), "a binary, b binary")
-                more = staged(found.distinct(), "links", batch_rows=32)
+                more = staged(found.distinct(), "links", batch_rows=8, spread=True)
                 comp = staged(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)), "components")
 
     named = cls.select("id", F.col("first").alias("low"))
@@ -308,8 +326,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataF
 
 #: The same rows in SQL: all pairs of documents that share a shingle.
 ORACLE = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS k
     FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
