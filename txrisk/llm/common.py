@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,20 @@ def staged(df: DataFrame, tag: str, batch_rows: int | None = None, spread: bool
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its freed memory back at its end, for workers are kept for later tasks."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim:
+            trim(0)
+
+    return task
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the id written as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(m)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import covered, runs, staged, texts
+from txrisk.llm.common import covered, lean, runs, staged, texts
 
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -146,7 +146,7 @@ def _count_shingles(index):
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m), pa.int32()), pa.array(at, pa.int64()), pa.array(t[at], pa.int64())], ["m", "at", "n"])
 
-    return run
+    return lean(run)
 
 
 def find_hits(ix: Index, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +198,10 @@ def _scan(index):
             cols += [pa.array(n_words, pa.int64()), pa.array([x or [] for x in spans], pa.list_(pa.int64())), pa.array([x or [] for x in items], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_words", "spans", "items"])
 
-    return run
+    return lean(run)
 
 
+@lean
 def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n_hit, digest = [], []

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import multiply_mod_hash, staged, texts
+from txrisk.llm.common import lean, multiply_mod_hash, staged, texts
 
 SHINGLE = 4
 KNOWN_WORDS = 100_000  # words whose hashes a task remembers
@@ -115,7 +115,7 @@ def _signatures(shingle: int, bands: int, rows: int, bits: int, seed: int):
             cols = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "set_key", "sig", "bands"])
 
-    return run
+    return lean(run)
 
 
 def _sets(shingle: int):
@@ -131,7 +131,7 @@ def _sets(shingle: int):
                 known.clear()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
 
-    return run
+    return lean(run)
 
 
 def _likely(n: int, bits: int, least: float):
@@ -145,7 +145,7 @@ def _likely(n: int, bits: int, least: float):
             keep = pa.array(estimate(x, y, n, bits) >= least)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -244,7 +244,7 @@ def _links(num: int, den: int):
                         out.append((ids[k], other[y]))
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], kind), pa.array([v for _, v in out], kind)], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def text_key(text: str = "text") -> Column:

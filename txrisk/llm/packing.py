@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import staged, texts
+from txrisk.llm.common import lean, staged, texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -94,7 +94,7 @@ def _tokenise(path: str, capacity: int):
             cols += [pa.array([chunk] * len(row), pa.int64()), pa.array(rank, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank"])
 
-    return run
+    return lean(run)
 
 
 def plan(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -199,4 +199,4 @@ def _place(shared):
             sequence, offset = r[:, 3] + i // r[:, 4], r[:, 5] + (i % r[:, 4]) * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return run
+    return lean(run)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from txrisk.llm.common import covered, multiply_mod_hash, runs, staged, texts
+from txrisk.llm.common import covered, lean, multiply_mod_hash, runs, staged, texts
 
 LENGTH = 200
 ANCHOR = 64
@@ -114,9 +114,10 @@ def _anchors(length: int, size: int):
                 at = pa.array([r for r, _, _ in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("k1").take(at), b.column("k2").take(at), *lists], ["k1", "k2", "h", "start", "n", "left_n"])
 
-    return run
+    return lean(run)
 
 
+@lean
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per segment to compare; its bytes go along the first time this task meets them."""
     seen: set[int] = set()
@@ -237,7 +238,7 @@ def _compare(length: int, batch_segments: int):
         if wait:
             yield finish(wait)
 
-    return run
+    return lean(run)
 
 
 def _cut(length: int, with_text: bool):
@@ -256,7 +257,7 @@ def _cut(length: int, with_text: bool):
             cols = [b.column(c) for c in names] + [pa.array([o[i] for o in out], pa.int64()) for i in range(3)] + [pa.array([o[i] for o in out], pa.string()) for i in (3, 4)]
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    return run
+    return lean(run)
 
 
 def remove_repeats(

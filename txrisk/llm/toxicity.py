@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import crc_mod, texts
+from txrisk.llm.common import crc_mod, lean, texts
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 17
@@ -201,7 +201,7 @@ def _score(shared, group_bytes: int = 1 << 17):
             own.append(score_many(group, model) if model else np.zeros(len(group)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(own), pa.float64())], [*b.schema.names, "score"])
 
-    return run
+    return lean(run)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, max_rows: int, max_train_bytes: int) -> tuple[list[tuple[bytes, int]], float]:
