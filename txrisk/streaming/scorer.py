@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from txrisk.functions import risk as R
 from txrisk.operators.features import row_features
-from txrisk.operators.ordering import rolling_over_positions, with_positions
+from txrisk.operators.ordering import TASK_ROWS, rolling_over_positions, with_positions
 from txrisk.operators.stats import FeatureStats
 from txrisk.plans.models import probability_of_fraud
 from txrisk.schema import DEFAULT_THRESHOLD, RISK_LEVELS, ROLLING_ROWS
@@ -52,7 +52,7 @@ class StreamScorer:
         threshold_path: str | None = None,
         default_threshold: float = DEFAULT_THRESHOLD,
         rows: int = ROLLING_ROWS,
-        block_rows: int = 1 << 20,
+        block_rows: int = TASK_ROWS // 4,
     ):
         self.spark = spark
         self.model = model
@@ -115,7 +115,8 @@ class StreamScorer:
         both = pos.withColumn("_carry", F.lit(False))
         if tail is not None:
             both = both.unionByName(tail.withColumn("_carry", F.lit(True)), allowMissingColumns=True)
-        rolled = rolling_over_positions(both, {"rolling_avg_amount": F.avg("Amount")}, self.rows, block_rows=self.block_rows)
+        n = pos.count()  # of the written positions
+        rolled = rolling_over_positions(both, {"rolling_avg_amount": F.avg("Amount")}, self.rows, block_rows=self.block_rows, n=n)
         rolled = rolled.filter(~F.col("_carry")).drop("_carry")
         feats = row_features(rolled, self.stats).withColumns(
             {
